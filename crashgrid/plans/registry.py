@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crashgrid.sources import fixtures
+from crashgrid.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,10 +35,33 @@ def query(name: str, inputs: str = "", ctes: tuple[str, ...] = (), sql: str | No
 
     def wrap(fn: Callable[[Load], DataFrame]) -> Callable[[Load], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(loader(spark, sf_dir))
-        if sql is not None:
-            parts = [fixtures.cte(i) for i in inputs.split()] + [c.strip() for c in ctes]
-            head = "with recursive " + ",\n".join(parts) + "\n" if parts else ""
-            ORACLES[name] = head + sql.strip()
+        _add_oracle(name, inputs, ctes, sql)
         return fn
 
     return wrap
+
+
+def stream_query(name: str, inputs: str = "", ctes: tuple[str, ...] = (), sql: str | None = None):
+    """Register ``fn(spark, stream, load)``; ``stream`` reads a derived input as a stream."""
+
+    def wrap(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def stream(name: str) -> DataFrame:
+                (table,) = fixtures.tables_of(name)
+                source = events.read_events(spark, sf_dir, f"{table}.parquet")
+                return spark.sql(fixtures.SQL[name], **{table: source})
+
+            return fn(spark, stream, loader(spark, sf_dir))
+
+        QUERIES[name] = run
+        _add_oracle(name, inputs, ctes, sql)
+        return fn
+
+    return wrap
+
+
+def _add_oracle(name: str, inputs: str, ctes: tuple[str, ...], sql: str | None) -> None:
+    if sql is not None:
+        parts = [fixtures.cte(i) for i in inputs.split()] + [c.strip() for c in ctes]
+        head = "with recursive " + ",\n".join(parts) + "\n" if parts else ""
+        ORACLES[name] = head + sql.strip()

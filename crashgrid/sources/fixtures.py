@@ -47,7 +47,7 @@ with c as (
 select event_id as view_id, user_id as session_id, ts,
   5.9e0+((centre*7919+13)%9100)/1000e0 as center_lon,
   47.3e0+((centre*104729+7)%7700)/1000e0 as center_lat,
-  6e0+(event_id%19)/2e0 as zoom, 1024 as width_px, 768 as height_px
+  6e0+(event_id%19)/2e0 as zoom, 1000 as width_px, 768 as height_px
 from c""",
     "cursors": """
 with c as (
