@@ -252,6 +252,16 @@ def legend_rows() -> list[tuple[str, str, str, str, int]]:
     return rows
 
 
+def legend_bits() -> dict[tuple[str, str], int]:
+    """One bit per legend box, so a whole filter state fits in a BIGINT."""
+    return {(grp, val): 1 << i for i, (grp, val, *_) in enumerate(legend_rows())}
+
+
+def group_bits(grp: str) -> int:
+    """All bits of one legend group."""
+    return sum(bit for (g, _), bit in legend_bits().items() if g == grp)
+
+
 @dataclass(frozen=True)
 class FilterState:
     """Checked boxes of one view. Empty lists mean nothing is checked in that group."""

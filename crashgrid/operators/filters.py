@@ -45,28 +45,28 @@ def accident_filter(df: DataFrame, state: FilterState) -> DataFrame:
     return df.where(accident_condition(state))
 
 
-def row_filter_condition(selection: str = "selection") -> Column:
-    """``accident_condition`` for a filter state held in a struct column of the row.
+def accident_boxes() -> Column:
+    """Legend boxes an accident belongs to, one bit each; unknown codes have no bit."""
+    bits = []
+    for (grp, val), bit in model.legend_bits().items():
+        hit = F.col(val) == 1 if grp == model.PARTICIPANT_GROUP else F.col(grp) == int(val)
+        bits.append(F.when(hit, F.lit(bit)).otherwise(F.lit(0)).cast("bigint"))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
-    The struct has the array fields ukategorie, uart, utyp1, ujahr and flags.
+
+def boxes_match(mask: Column, boxes: Column) -> Column:
+    """``accident_condition`` for a filter state held as a bit mask in each row.
+
+    ``mask`` has the checked boxes, ``boxes`` those of the accident.
     """
-    s = F.col(selection)
 
-    def group(name: str, column: str) -> Column:
-        return (F.size(s[name]) == 0) | F.array_contains(s[name], F.col(column))
+    def some(value: Column, groups: list[str]) -> Column:
+        return value.bitwiseAND(sum(model.group_bits(g) for g in groups)) != 0
 
-    involved = [
-        F.array_contains(s["flags"], F.lit(f)) & (F.col(f) == 1) for f in model.PARTICIPANTS
-    ]
-    flags = (F.size(s["flags"]) == 0) | reduce(or_, involved)
-    shown = [F.size(s[name]) > 0 for name in ("ukategorie", "uart", "utyp1", "flags")]
-    groups = [
-        group("ukategorie", "UKATEGORIE"),
-        group("uart", "UART"),
-        group("utyp1", "UTYP1"),
-        group("ujahr", "UJAHR"),
-    ]
-    return reduce(or_, shown) & reduce(and_, groups) & flags
+    deciding = [g for g in model.CODE_GROUPS if g != "UJAHR"] + [model.PARTICIPANT_GROUP]
+    both = mask.bitwiseAND(boxes)
+    groups = [~some(mask, [g]) | some(both, [g]) for g in [*model.CODE_GROUPS, model.PARTICIPANT_GROUP]]
+    return some(mask, deciding) & reduce(and_, groups)
 
 
 def in_bounds(minlon, minlat, maxlon, maxlat) -> Column:

@@ -9,19 +9,75 @@ points lie in it, and a cell that holds a third of all points is one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrid.functions import geo
 
 STEP = 3
-LEVELS = (14, 17, 20)
+LEVELS = (17, 20)
 FINEST = LEVELS[-1]
+ZONE_LEVEL = 8
 # Slack in world units (0..1) around cell edges: far above rounding error, far
 # below a cell. Cells this close to an edge are opened and settled exactly.
 SLACK = 1e-12
 
 
+@dataclass(frozen=True)
+class Grid:
+    """``points``: distinct coordinates (px, py, lon, lat, n, first_id) with their finest
+    cell. ``cells``: per level the counts (px, py, x, y, cell_n) keyed by parent cell."""
+
+    points: DataFrame
+    cells: dict[int, DataFrame]
+
+
+def build(df: DataFrame) -> Grid:
+    """The index of a table of accidents, as a plan."""
+    points = positions(df)
+    return Grid(points, {level: cells(points, level) for level in LEVELS})
+
+
+def _zone(px: str, py: str, level: int) -> Column:
+    up = level - ZONE_LEVEL
+    return F.shiftright(px, up) * (1 << ZONE_LEVEL) + F.shiftright(py, up)
+
+
+def write_grid(df: DataFrame, path: str) -> None:
+    """Store the index below ``path``, partitioned by zone (tiles of level 8)."""
+    _write(positions(df), FINEST, f"{path}/points")
+    points = df.sparkSession.read.parquet(f"{path}/points").drop("zone")
+    for level in LEVELS:
+        _write(cells(points, level), level - STEP, f"{path}/cells-{level}")
+
+
+def _write(table: DataFrame, key_level: int, path: str) -> None:
+    # Range partitions by zone and cell: a crowded zone is split over several files.
+    keys = ["zone", "px", "py"]
+    placed = table.withColumn("zone", _zone("px", "py", key_level)).repartitionByRange(*keys)
+    placed.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("zone").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str, zones: list[int] | None = None) -> Grid:
+    """A stored index, restricted to some zones if given; other zones are not read."""
+
+    def table(name: str) -> DataFrame:
+        stored = spark.read.parquet(f"{path}/{name}")
+        kept = stored if zones is None else stored.where(F.col("zone").isin(zones))
+        return kept.drop("zone")
+
+    return Grid(table("points"), {level: table(f"cells-{level}") for level in LEVELS})
+
+
+def zones_of(boxes: DataFrame) -> list[int]:
+    """Zones that world boxes touch. There are at most 4^8 zones, however many boxes."""
+    touched = cover(boxes.select("wx0", "wy0", "wx1", "wy1"), ZONE_LEVEL)
+    zones = touched.select(_zone("px", "py", ZONE_LEVEL).alias("zone")).distinct()
+    return [row.zone for row in zones.collect()]
+
+
 def positions(df: DataFrame) -> DataFrame:
     """Distinct coordinates (px, py, lon, lat, n, first_id) with their finest cell."""
     distinct = (

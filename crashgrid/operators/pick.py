@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crashgrid import model
 from crashgrid.functions import geo
 from crashgrid.operators import grid
-from crashgrid.operators.skew import salted_join
+from crashgrid.operators.skew import salted_join, sized_join
 
 CURSOR = ["lon", "lat", "zoom"]
 _KEY = ["c_lon", "c_lat", "zoom"]
@@ -19,6 +19,7 @@ def pick(
     df: DataFrame,
     radius_px: float = model.PICK_RADIUS_PX,
     min_zoom: float = model.CLUSTER_ZOOM_LIMIT,
+    index: grid.Grid | None = None,
 ) -> DataFrame:
     """Cursors (lon, lat, zoom) with the nearest accident within the pixel radius.
 
@@ -26,7 +27,7 @@ def pick(
     cursor meets non-empty grid cells only; a cell stays when its nearest corner
     beats the farthest corner of every other cell. Only those few open up to points.
     """
-    points = grid.positions(df)
+    index = index or grid.build(df)
     px = F.lit(float(geo.TILE_PX)) * F.pow(F.lit(2.0), F.col("zoom"))
     wx, wy, r = F.col("wx"), F.col("wy"), F.lit(radius_px) / F.col("px_per_world")
     spots = (
@@ -44,7 +45,7 @@ def pick(
         .withColumns({"wx0": wx - r, "wy0": wy - r, "wx1": wx + r, "wy1": wy + r})
     )
     parents = grid.cover(spots, grid.FINEST - grid.STEP).drop("wx0", "wy0", "wx1", "wy1")
-    near = parents.join(grid.cells(points, grid.FINEST), ["px", "py"])
+    near = sized_join(parents, index.cells[grid.FINEST], ["px", "py"])
     x0, y0, x1, y1 = grid.edges(grid.FINEST)
     zero = F.lit(0.0)
     gap_x, gap_y = F.greatest(x0 - wx, wx - x1, zero), F.greatest(y0 - wy, wy - y1, zero)
@@ -68,7 +69,7 @@ def pick(
     dx = geo.world_x(F.col("lon")) - wx
     dy = geo.world_y(F.col("lat")) - wy
     best = (
-        open_cells.join(points, ["px", "py"])
+        sized_join(open_cells, index.points, ["px", "py"])
         .withColumn("distance_px", F.hypot(dx, dy) * F.col("px_per_world"))
         .where(F.col("distance_px") <= radius_px)
         .groupBy(*_KEY)

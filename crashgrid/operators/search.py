@@ -8,57 +8,91 @@ from pyspark.sql import functions as F
 from crashgrid import model
 from crashgrid.functions.text import place_label
 from crashgrid.operators.filters import search_bbox
-from crashgrid.operators.skew import salted_join
+from crashgrid.operators.skew import salted_join, sized_join
+
+INDEX_LENGTH = 64
 
 
 def normalise(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
-def search_index(places: DataFrame, k: int = model.SEARCH_LIMIT) -> DataFrame:
-    """Best k places inside the search area for every text that occurs in a name.
+def _named(places: DataFrame) -> DataFrame:
+    """Places of the search area with their normalised name in ``_n``."""
+    return search_bbox(places).withColumn("_n", normalise(F.col("name"))).where(F.length("_n") > 0)
 
-    Ranked exact, prefix, contains, then name, then id. Each task keeps k rows per
-    text before the shuffle, so a text found in every name costs k rows per task.
-    The index does not depend on the queries; store it to serve many batches.
-    """
-    name = normalise(F.col("name"))
-    size = F.length("_n")
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), size - s + 1), lambda n: F.substring("_n", s, n)
-            ),
-        )
-    )
-    texts = (
-        search_bbox(places)
-        .withColumn("_n", name)
-        .where(size > 0)
-        .withColumn("text", F.explode(F.array_distinct(pieces)))
-    )
+
+def _pieces(least: int, most: int) -> Column:
+    """Distinct substrings of ``_n`` whose length lies between the two."""
+    starts = F.sequence(F.lit(1), F.length("_n") - least + 1)
+
+    def at(start: Column) -> Column:
+        sizes = F.sequence(F.lit(least), F.least(F.lit(most), F.length("_n") - start + 1))
+        return F.transform(sizes, lambda size: F.substring("_n", start, size))
+
+    pieces = F.array_distinct(F.flatten(F.transform(starts, at)))
+    return F.when(F.length("_n") >= least, pieces)
+
+
+def _best(matches: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """Best k places per text: exact, prefix, contains, then name, then id."""
     match = (
         F.when(F.col("_n") == F.col("text"), 0).when(F.startswith("_n", "text"), 1).otherwise(2)
     )
     best = Window.partitionBy("text").orderBy("match", "name", "place_id")
     return (
-        texts.withColumn("match", match)
+        matches.withColumn("match", match)
         .withColumn("position", F.row_number().over(best))
         .where(F.col("position") <= k)
-        .select("text", "position", *places.columns)
+        .select("text", "position", *columns)
     )
 
 
-def geocode(queries: DataFrame, index: DataFrame, q: str = "q") -> DataFrame:
-    """Hits of every query, best first: (query columns, position, label, place columns)."""
-    text = normalise(F.col(q))
-    asked = queries.withColumn("text", text).where(F.col("text") != "")
-    hits = salted_join(asked, index, ["text"])
+def search_index(places: DataFrame, k: int = model.SEARCH_LIMIT) -> DataFrame:
+    """Best k places of the search area for every text of up to 64 characters in a name.
+
+    Each task keeps k rows per text before the shuffle, so a text found in every
+    name costs k rows per task. The index does not depend on the queries; store it
+    to serve many batches.
+    """
+    texts = _named(places).withColumn("text", F.explode(_pieces(1, INDEX_LENGTH)))
+    return _best(texts, k, places.columns)
+
+
+def _long_hits(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """``search_index`` rows for given texts of more than 64 characters.
+
+    Joined on the first 64 characters, then compared in full. Only places with
+    names that long take part.
+    """
+    anchors = _named(places).withColumn("_a", F.explode(_pieces(INDEX_LENGTH, INDEX_LENGTH)))
+    asked = texts.withColumn("_a", F.substring("text", 1, INDEX_LENGTH))
+    matches = sized_join(anchors, asked, ["_a"]).where(F.contains("_n", "text"))
+    return _best(matches, k, places.columns)
+
+
+def geocode(
+    queries: DataFrame,
+    places: DataFrame,
+    q: str = "q",
+    k: int = model.SEARCH_LIMIT,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """Hits of every query, best first: (query columns, position, place columns, label).
+
+    ``index`` is a stored ``search_index`` of the same places with at least k hits.
+    Many users type the same text, so hits are found per text and then joined back.
+    """
+    asked = queries.withColumn("text", normalise(F.col(q))).where(F.col("text") != "")
+    long_texts = asked.where(F.length("text") > INDEX_LENGTH).select("text").distinct()
+    hits = (index or search_index(places, k)).where(F.col("position") <= k)
+    hits = hits.unionByName(_long_hits(long_texts, places, k))
     label = place_label(F.col("name"), F.col("city"), F.col("country"))
-    return hits.drop("text").withColumn("label", label)
+    return salted_join(asked, hits, ["text"]).drop("text").withColumn("label", label)
 
 
-def first_hit(queries: DataFrame, index: DataFrame, q: str = "q") -> DataFrame:
+def first_hit(
+    queries: DataFrame, places: DataFrame, q: str = "q", index: DataFrame | None = None
+) -> DataFrame:
     """The hit a submitted query jumps to; queries without a hit give no row."""
-    return geocode(queries, index.where(F.col("position") == 1), q)
+    return geocode(queries, places, q, 1, index)

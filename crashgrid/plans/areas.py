@@ -9,7 +9,7 @@ from crashgrid.functions import curve, geo, sizing
 from crashgrid.model import FilterState
 from crashgrid.operators import clusters as cl
 from crashgrid.operators import layers, search, sessions, viewport
-from crashgrid.operators.filters import accident_filter, row_filter_condition
+from crashgrid.operators.filters import accident_boxes, accident_filter, boxes_match
 from crashgrid.operators.pick import pick as pick_accidents
 from crashgrid.plans.registry import query
 from crashgrid.plans.sqltext import CENTRE, PYRAMID, VIEW_BOUNDS, WINDOW_COUNTS, bounds, tile_x, tile_y
@@ -205,11 +205,9 @@ def selection_state(load):
 
 def selection_texts(states):
     """Selection lists as sorted comma-joined texts."""
-    texts = [
-        F.array_join(F.array_sort(f"selection.{name}"), ",").alias(name)
-        for name in sessions.STATE_FIELDS
-    ]
-    return states.select("session_id", *texts)
+    lists = states.select("session_id", sessions.selection_lists(F.col("mask")).alias("s"))
+    texts = [F.array_join(F.array_sort(f"s.{n}"), ",").alias(n) for n in sessions.STATE_FIELDS]
+    return lists.select("session_id", *texts)
 
 
 @query(
@@ -228,8 +226,12 @@ where v.zoom>=11 and len(s.ukategorie)+len(s.uart)+len(s.utyp1)+len(flags)>0
 )
 def viewport_join(load):
     states = sessions.selection_state(load("toggles"))
-    views = load("views").drop("ts").join(states, "session_id")
-    pairs = viewport.viewport_join(views, load("accidents"), row_filter_condition())
+    views = load("views").join(states, "session_id").drop("session_id", "ts")
+    accidents = load("accidents").select(
+        "OBJECTID", "UKATEGORIE", "lon", "lat", accident_boxes().alias("boxes")
+    )
+    matching = boxes_match(F.col("mask"), F.col("boxes"))
+    pairs = viewport.viewport_join(views, accidents, matching)
     return pairs.select("view_id", "OBJECTID", "UKATEGORIE")
 
 
@@ -274,7 +276,7 @@ hits as (
     sql="select search_id, position, place_id, label from hits",
 )
 def geocode(load):
-    hits = search.geocode(load("searches"), search.search_index(load("places")))
+    hits = search.geocode(load("searches"), load("places"))
     return hits.select("search_id", "position", "place_id", "label")
 
 
@@ -285,7 +287,7 @@ def geocode(load):
     sql="select search_id, place_id, label, lon, lat from hits where position=1",
 )
 def first_hit(load):
-    hits = search.first_hit(load("searches"), search.search_index(load("places")))
+    hits = search.first_hit(load("searches"), load("places"))
     return hits.select("search_id", "place_id", "label", "lon", "lat")
 
 
@@ -303,7 +305,7 @@ def first_hit(load):
 where position=1""",
 )
 def accidents_near_place(load):
-    hits = search.first_hit(load("searches"), search.search_index(load("places")))
+    hits = search.first_hit(load("searches"), load("places"))
     near = viewport.accidents_near_place(hits, load("accidents"))
     return near.select("search_id", "place_id", "visible")
 

@@ -73,8 +73,9 @@ from vb v left join window_counts c on c.zoom=v.zoom and c.minlon=v.minlon and c
   and c.maxlon=v.maxlon and c.maxlat=v.maxlat""",
 )
 def view_count_stream(spark, stream, load):
+    index = storage.new_path(spark, "view-index")
+    events.store_view_index(load("accidents"), index)
     path = storage.new_path(spark, "view-counts")
-    events.view_count_stream(
-        stream("views"), load("accidents"), path, storage.new_path(spark, "view-counts-state")
-    ).awaitTermination()
+    state = storage.new_path(spark, "view-counts-state")
+    events.view_count_stream(stream("views"), index, path, state).awaitTermination()
     return spark.read.parquet(path).select("view_id", "clustered", "visible")

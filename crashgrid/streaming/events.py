@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crashgrid import model
-from crashgrid.operators import sessions, viewport
-from crashgrid.operators.filters import min_query_length
+from crashgrid.operators import clusters, grid, sessions, viewport
+from crashgrid.operators.filters import accident_filter, min_query_length
 
 
 def read_events(spark: SparkSession, folder: str, files: str, max_files: int | None = None) -> DataFrame:
@@ -94,17 +94,28 @@ def selection_table(spark: SparkSession, path: str) -> DataFrame:
     return sessions.selection_state(changes)
 
 
-def view_count_stream(
-    views: DataFrame,
-    accidents: DataFrame,
-    path: str,
-    checkpoint: str,
-    state: model.FilterState | None = None,
-    pyramid: DataFrame | None = None,
-) -> StreamingQuery:
-    """Count the accidents of every view change, batch by batch, into ``path``."""
+def store_view_index(
+    accidents: DataFrame, path: str, state: model.FilterState | None = None
+) -> None:
+    """Store what ``view_count_stream`` reads: the clusters and the filtered point grid."""
+    kept = accidents if state is None else accident_filter(accidents, state)
+    clusters.cluster_pyramid(accidents).write.mode("overwrite").parquet(f"{path}/clusters")
+    grid.write_grid(kept, f"{path}/grid")
+
+
+def view_count_stream(views: DataFrame, index: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Count the accidents of every view change, batch by batch, into ``path``.
+
+    ``index`` is the folder of ``store_view_index``. A batch reads only the zones of
+    the grid that its views touch, never the accidents themselves.
+    """
 
     def count(batch: DataFrame) -> DataFrame:
-        return viewport.view_counts(batch, accidents, state, pyramid=pyramid)
+        spark = batch.sparkSession
+        near = viewport.with_bounds(batch).where(F.col("zoom") >= model.CLUSTER_ZOOM_LIMIT)
+        zones = grid.zones_of(viewport.boxes_of(near))
+        stored = grid.read_grid(spark, f"{index}/grid", zones)
+        pyramid = spark.read.parquet(f"{index}/clusters")
+        return viewport.view_counts(batch, pyramid=pyramid, index=stored)
 
     return update_into(views, path, checkpoint, count)
