@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -11,10 +12,12 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a fresh local one only when unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _local_dir()).rstrip("/")
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
