@@ -20,6 +20,8 @@ STEP = 3
 LEVELS = (17, 20)
 FINEST = LEVELS[-1]
 ZONE_LEVEL = 8
+POINT_SCHEMA = "px bigint, py bigint, lon double, lat double, n bigint, first_id bigint, zone bigint"
+CELL_SCHEMA = "px bigint, py bigint, x bigint, y bigint, cell_n bigint, zone bigint"
 # Slack in world units (0..1) around cell edges: far above rounding error, far
 # below a cell. Cells this close to an edge are opened and settled exactly.
 SLACK = 1e-12
@@ -48,7 +50,7 @@ def _zone(px: str, py: str, level: int) -> Column:
 def write_grid(df: DataFrame, path: str) -> None:
     """Store the index below ``path``, partitioned by zone (tiles of level 8)."""
     _write(positions(df), FINEST, f"{path}/points")
-    points = df.sparkSession.read.parquet(f"{path}/points").drop("zone")
+    points = df.sparkSession.read.schema(POINT_SCHEMA).parquet(f"{path}/points")
     for level in LEVELS:
         _write(cells(points, level), level - STEP, f"{path}/cells-{level}")
 
@@ -63,12 +65,13 @@ def _write(table: DataFrame, key_level: int, path: str) -> None:
 def read_grid(spark: SparkSession, path: str, zones: list[int] | None = None) -> Grid:
     """A stored index, restricted to some zones if given; other zones are not read."""
 
-    def table(name: str) -> DataFrame:
-        stored = spark.read.parquet(f"{path}/{name}")
+    def table(name: str, schema: str) -> DataFrame:
+        stored = spark.read.schema(schema).parquet(f"{path}/{name}")
         kept = stored if zones is None else stored.where(F.col("zone").isin(zones))
         return kept.drop("zone")
 
-    return Grid(table("points"), {level: table(f"cells-{level}") for level in LEVELS})
+    counts = {level: table(f"cells-{level}", CELL_SCHEMA) for level in LEVELS}
+    return Grid(table("points", POINT_SCHEMA), counts)
 
 
 def zones_of(boxes: DataFrame) -> list[int]:

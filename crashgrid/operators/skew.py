@@ -60,15 +60,16 @@ def salted_join(
 
 
 def _salt(
-    spread: DataFrame, copied: DataFrame, keys: list[str], name: str, rows_per_salt: int
+    spread: DataFrame, copied: DataFrame, keys: list[str], salt_name: str, rows_per_salt: int
 ) -> tuple[DataFrame, DataFrame]:
     """Add the salt column: a hash on one side, one copy per salt on the other."""
     hot = F.broadcast(hot_keys(spread, keys, rows_per_salt))
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     salts = F.coalesce(F.col("_salts"), F.when(no_key, NULL_SALTS), F.lit(1))
-    salt = F.pmod(F.xxhash64(*spread.columns), salts).cast("int")
+    hashed = [name for name, kind in spread.dtypes if "map<" not in kind]
+    salt = F.pmod(F.xxhash64(*hashed), salts).cast("int")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     return (
-        spread.join(hot, keys, "left").select(*spread.columns, salt.alias(name)),
-        copied.join(hot, keys, "left").select(*copied.columns, F.explode(copies).alias(name)),
+        spread.join(hot, keys, "left").select(*spread.columns, salt.alias(salt_name)),
+        copied.join(hot, keys, "left").select(*copied.columns, F.explode(copies).alias(salt_name)),
     )

@@ -213,11 +213,18 @@ def selection_texts(states):
 @query(
     "viewport_join",
     "accidents views toggles",
-    ctes=(VIEW_BOUNDS, _LAST_TOGGLES),
+    ctes=(
+        VIEW_BOUNDS,
+        _LAST_TOGGLES,
+        """strips as (
+  select *, unnest(generate_series(cast(floor(minlon*5) as bigint), cast(floor(maxlon*5) as bigint))) as strip
+  from vb where zoom>=11)""",
+    ),
     sql="""select v.view_id, a.OBJECTID, a.UKATEGORIE
-from vb v join state s on s.session_id=v.session_id
-join accidents a on a.lon between v.minlon and v.maxlon and a.lat between v.minlat and v.maxlat
-where v.zoom>=11 and len(s.ukategorie)+len(s.uart)+len(s.utyp1)+len(flags)>0
+from strips v join state s on s.session_id=v.session_id
+join accidents a on cast(floor(a.lon*5) as bigint)=v.strip
+  and a.lon between v.minlon and v.maxlon and a.lat between v.minlat and v.maxlat
+where len(s.ukategorie)+len(s.uart)+len(s.utyp1)+len(flags)>0
   and (len(s.ukategorie)=0 or list_contains(s.ukategorie, a.UKATEGORIE)) and (len(s.uart)=0 or list_contains(s.uart, a.UART))
   and (len(s.utyp1)=0 or list_contains(s.utyp1, a.UTYP1)) and (len(s.ujahr)=0 or list_contains(s.ujahr, a.UJAHR))
   and (len(flags)=0 """

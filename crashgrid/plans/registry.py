@@ -48,7 +48,8 @@ def stream_query(name: str, inputs: str = "", ctes: tuple[str, ...] = (), sql: s
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             def stream(name: str) -> DataFrame:
                 (table,) = fixtures.tables_of(name)
-                source = events.read_events(spark, sf_dir, f"{table}.parquet")
+                # A glob, because a stream takes a folder or a glob but not a single file.
+                source = events.read_events(spark, f"{sf_dir}/{table}.parque[t]")
                 return spark.sql(fixtures.SQL[name], **{table: source})
 
             return fn(spark, stream, loader(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,13 +13,15 @@ from crashgrid.operators import clusters, grid, sessions, viewport
 from crashgrid.operators.filters import accident_filter, min_query_length
 
 
-def read_events(spark: SparkSession, folder: str, files: str, max_files: int | None = None) -> DataFrame:
-    """A stream over the Parquet files of a folder whose names match ``files``."""
-    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+RUN_ONCE = {"availableNow": True}
+
+
+def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stream over Parquet files; ``path`` is a folder or a glob of files or folders."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def _event_time(ts: str) -> Column:
@@ -47,13 +51,15 @@ def debounce_stream(
     return fired.where(min_query_length(F.col(value), min_len))
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write a stream in append mode to Parquet until its input is used up."""
+def append_to(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict = RUN_ONCE
+) -> StreamingQuery:
+    """Write a stream in append mode to Parquet; by default until its input is used up."""
     return (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -68,7 +74,11 @@ def last_toggles_stream(toggles: DataFrame) -> DataFrame:
 
 
 def update_into(
-    stream: DataFrame, path: str, checkpoint: str, transform=lambda batch: batch
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    transform: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    trigger: dict = RUN_ONCE,
 ) -> StreamingQuery:
     """Write each batch of changed rows to ``path/batch=<id>``.
 
@@ -83,7 +93,7 @@ def update_into(
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -103,7 +113,9 @@ def store_view_index(
     grid.write_grid(kept, f"{path}/grid")
 
 
-def view_count_stream(views: DataFrame, index: str, path: str, checkpoint: str) -> StreamingQuery:
+def view_count_stream(
+    views: DataFrame, index: str, path: str, checkpoint: str, trigger: dict = RUN_ONCE
+) -> StreamingQuery:
     """Count the accidents of every view change, batch by batch, into ``path``.
 
     ``index`` is the folder of ``store_view_index``. A batch reads only the zones of
@@ -118,4 +130,4 @@ def view_count_stream(views: DataFrame, index: str, path: str, checkpoint: str)
         pyramid = spark.read.parquet(f"{index}/clusters")
         return viewport.view_counts(batch, pyramid=pyramid, index=stored)
 
-    return update_into(views, path, checkpoint, count)
+    return update_into(views, path, checkpoint, count, trigger)
