@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from crashgrid.functions import geo
 
 STEP = 3
-LEVELS = (17, 20)
+LEVELS = (14, 17, 20)
 FINEST = LEVELS[-1]
 ZONE_LEVEL = 8
 POINT_SCHEMA = "px bigint, py bigint, lon double, lat double, n bigint, first_id bigint, zone bigint"
@@ -39,7 +39,10 @@ class Grid:
 def build(df: DataFrame) -> Grid:
     """The index of a table of accidents, as a plan."""
     points = positions(df)
-    return Grid(points, {level: cells(points, level) for level in LEVELS})
+    levels = {FINEST: finest_cells(points)}
+    for level in reversed(LEVELS[:-1]):
+        levels[level] = coarser_cells(levels[level + STEP])
+    return Grid(points, levels)
 
 
 def _zone(px: str, py: str, level: int) -> Column:
@@ -49,10 +52,12 @@ def _zone(px: str, py: str, level: int) -> Column:
 
 def write_grid(df: DataFrame, path: str) -> None:
     """Store the index below ``path``, partitioned by zone (tiles of level 8)."""
+    spark = df.sparkSession
     _write(positions(df), FINEST, f"{path}/points")
-    points = df.sparkSession.read.schema(POINT_SCHEMA).parquet(f"{path}/points")
-    for level in LEVELS:
-        _write(cells(points, level), level - STEP, f"{path}/cells-{level}")
+    counts = finest_cells(spark.read.schema(POINT_SCHEMA).parquet(f"{path}/points"))
+    for level in reversed(LEVELS):
+        _write(counts, level - STEP, f"{path}/cells-{level}")
+        counts = coarser_cells(spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells-{level}"))
 
 
 def _write(table: DataFrame, key_level: int, path: str) -> None:
@@ -98,13 +103,21 @@ def positions(df: DataFrame) -> DataFrame:
     )
 
 
-def cells(points: DataFrame, level: int) -> DataFrame:
-    """Counts (px, py, x, y, cell_n) of one level, keyed by the parent cell."""
-    up = FINEST - level
-    own = points.groupBy(F.shiftright("px", up).alias("x"), F.shiftright("py", up).alias("y"))
-    return own.agg(F.sum("n").alias("cell_n")).select(
-        F.shiftright("x", STEP).alias("px"), F.shiftright("y", STEP).alias("py"), "x", "y", "cell_n"
-    )
+def finest_cells(points: DataFrame) -> DataFrame:
+    """Counts (px, py, x, y, cell_n) of the finest level, keyed by the parent cell."""
+    counts = points.groupBy(F.col("px").alias("x"), F.col("py").alias("y"))
+    return _with_parent(counts.agg(F.sum("n").alias("cell_n")))
+
+
+def coarser_cells(children: DataFrame) -> DataFrame:
+    """The next coarser level, summed from the cells below it instead of the points."""
+    counts = children.groupBy(F.col("px").alias("x"), F.col("py").alias("y"))
+    return _with_parent(counts.agg(F.sum("cell_n").alias("cell_n")))
+
+
+def _with_parent(counts: DataFrame) -> DataFrame:
+    parent = [F.shiftright("x", STEP).alias("px"), F.shiftright("y", STEP).alias("py")]
+    return counts.select(*parent, "x", "y", "cell_n")
 
 
 def world_box(bounds: Column) -> list[Column]:
