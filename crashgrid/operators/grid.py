@@ -142,6 +142,23 @@ def cover(boxes: DataFrame, level: int | Column) -> DataFrame:
 
 def edges(level: int) -> tuple[Column, Column, Column, Column]:
     """World edges (x0, y0, x1, y1) of the cell in columns x, y."""
-    side = float(1 << level)
-    x, y = F.col("x"), F.col("y")
-    return x / side, y / side, (x + 1) / side, (y + 1) / side
+    return tuple(F.expr(e) for e in _edges(level))
+
+
+def _edges(level: int) -> tuple[str, str, str, str]:
+    side = f"{1 << level}D"
+    return f"x / {side}", f"y / {side}", f"(x + 1) / {side}", f"(y + 1) / {side}"
+
+
+def apart(level: int) -> str:
+    """Condition: the cell x, y lies outside the world box, beyond doubt."""
+    x0, y0, x1, y1 = _edges(level)
+    s = f"{SLACK}D"
+    return f"({x1} < wx0 - {s} or {x0} > wx1 + {s} or {y1} < wy0 - {s} or {y0} > wy1 + {s})"
+
+
+def inside(level: int) -> str:
+    """Condition: the cell x, y lies wholly inside the world box, beyond doubt."""
+    x0, y0, x1, y1 = _edges(level)
+    s = f"{SLACK}D"
+    return f"({x0} > wx0 + {s} and {x1} < wx1 - {s} and {y0} > wy0 + {s} and {y1} < wy1 - {s})"
