@@ -5,9 +5,8 @@ tile on the Hilbert curve of its own zoom. Walking the curve from the coarsest
 bit to the finest, the orientation is one of four states (swap x/y or not,
 invert both or not), so three bits of x and y and a state determine six bits of
 the position and the next state. ``_step`` is that rule; ``_tables`` unrolls it.
-The column expressions are chains of table look-ups, which stay in generated code
-when they stand in a select. ``with_tile_id`` and ``with_tile_zxy`` are the forms to
-use ahead of filters, joins and aggregates.
+Each step is one table look-up in its own column, so everything stays in generated
+code and nothing is evaluated twice.
 """
 
 from __future__ import annotations
@@ -52,93 +51,28 @@ def _tables() -> tuple[list[int], list[int]]:
     return encode, decode
 
 
-def _walk(table: list[int], start: Column, chunks: list[Column]) -> list[Column]:
-    """Look up every chunk, coarsest first, passing the state along."""
-    # A split literal folds to one array constant instead of 256 literal nodes.
-    values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    state, out = start, []
-    for chunk in chunks:
-        hit = values[state * _CELLS + chunk]
-        out.append(F.shiftright(hit, 2))
-        state = hit.bitwiseAND(3)
-    return out
-
-
-def _start_state(z: Column) -> Column:
+def _walk(table: list[int], z: str, chunks: list[str]) -> list[str]:
+    """Aliased look-ups ``_h8`` (coarsest) to ``_h0``, each using the state of the last."""
+    # A split literal folds to one array constant.
+    values = f"cast(split('{','.join(map(str, table))}', ',') as array<int>)"
     # Unused leading levels only flip the swap bit, so begin with their parity.
-    return (F.lit(_STEPS * _BITS) - z).cast("int").bitwiseAND(1)
-
-
-def _zoom_base(z: Column) -> Column:
-    # (4^z - 1) / 3: the number of tiles on all lower zooms; exact in a double up to zoom 26.
-    return F.floor((F.pow(F.lit(4.0), z) - 1.0) / 3.0)
-
-
-def valid_tile(z: Column, x: Column, y: Column) -> Column:
-    """True when z is at most 26 and x, y lie on the grid of that zoom."""
-    side = F.pow(F.lit(2.0), z)
-    inside = (x >= 0) & (y >= 0) & (x < side) & (y < side)
-    return (z >= 0) & (z <= model.MAX_TILE_ZOOM) & inside
-
-
-def tile_id(z: Column, x: Column, y: Column, strict: bool = False) -> Column:
-    """Hilbert id of a tile. Out of range: NULL, or an error when ``strict``."""
-    x, y = x.cast("bigint"), y.cast("bigint")
-    ok = valid_tile(z, x, y)
-    if strict:
-        bad = F.raise_error(F.lit("tile outside zoom 0..26 or outside its grid")).cast("int")
-        z = F.when(~ok, bad).otherwise(z)
-    else:
-        z = F.when(ok, z)
-    chunks = []
-    for i in reversed(range(_STEPS)):
-        xb = F.shiftright(x, _BITS * i).bitwiseAND(_SIDE - 1)
-        yb = F.shiftright(y, _BITS * i).bitwiseAND(_SIDE - 1)
-        chunks.append((xb * _SIDE + yb).cast("int"))
-    digits = _walk(_tables()[0], _start_state(z), chunks)
-    position = None
-    for i, d in enumerate(digits):
-        part = F.shiftleft(d.cast("bigint"), 2 * _BITS * (_STEPS - 1 - i))
-        position = part if position is None else position.bitwiseOR(part)
-    return _zoom_base(z) + position
-
-
-def tile_zoom(tid: Column) -> Column:
-    """Zoom of a tile id: 3 * id + 1 lies between 4^z and 4^(z+1)."""
-    return F.floor((F.length(F.bin(tid * 3 + 1)) - 1) / 2).cast("int")
+    state, steps = f"(({_STEPS * _BITS} - {z}) & 1)", []
+    for i, chunk in zip(reversed(range(_STEPS)), chunks):
+        steps.append(f"{values}[cast({state} * {_CELLS} + {chunk} as int)] as _h{i}")
+        state = f"(_h{i} & 3)"
+    return steps
 
 
-def tile_zxy(tid: Column, strict: bool = False) -> Column:
-    """Struct (z, x, y) of a tile id. Out of range: NULL fields, or an error when ``strict``."""
-    tid = tid.cast("bigint")
-    last = (4 ** (model.MAX_TILE_ZOOM + 1) - 1) // 3 - 1
-    ok = (tid >= 0) & (tid <= last)
-    if strict:
-        bad = F.raise_error(F.lit("tile id outside zoom 0..26")).cast("bigint")
-        safe = F.when(~ok, bad).otherwise(tid)
-    else:
-        safe = F.when(ok, tid)
-    z = tile_zoom(safe)
-    position = safe - _zoom_base(z)
-    chunks = [
-        F.shiftright(position, 2 * _BITS * i).bitwiseAND(_CELLS - 1).cast("int")
-        for i in reversed(range(_STEPS))
-    ]
-    x = y = None
-    for i, xy in enumerate(_walk(_tables()[1], _start_state(z), chunks)):
-        shift = _BITS * (_STEPS - 1 - i)
-        xb = F.shiftleft(F.shiftright(xy, _BITS).cast("bigint"), shift)
-        yb = F.shiftleft(xy.bitwiseAND(_SIDE - 1).cast("bigint"), shift)
-        x = xb if x is None else x.bitwiseOR(xb)
-        y = yb if y is None else y.bitwiseOR(yb)
-    return F.struct(z.alias("z"), x.alias("x"), y.alias("y"))
+def _zoom_base(z: str) -> str:
+    # (4^z - 1) / 3: the number of tiles on all lower zooms.
+    return f"((shiftleft(1L, 2 * {z}) - 1) div 3)"
 
 
 def _sealed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that later filters, join keys and aggregates refer to by name only.
 
-    Without the one-element explode the optimiser would copy the long expression into
-    every filter derived from it, where its common parts are evaluated again and again.
+    Without the one-element explode the optimiser would copy the expression behind
+    the column into every filter derived from it.
     """
     return df.withColumn(name, F.explode(F.array(value)))
 
@@ -146,13 +80,53 @@ def _sealed(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_tile_id(
     df: DataFrame, z: str = "z", x: str = "x", y: str = "y", name: str = "tile_id", strict: bool = False
 ) -> DataFrame:
-    """``df`` with the tile id of the columns z, x, y, computed once per row."""
-    sealed = _sealed(df, "_zxy", F.struct(F.col(z).alias("z"), F.col(x).alias("x"), F.col(y).alias("y")))
-    tid = tile_id(F.col("_zxy.z"), F.col("_zxy.x"), F.col("_zxy.y"), strict)
-    return _sealed(sealed.withColumn("_id", tid), name, F.col("_id")).drop("_zxy", "_id")
+    """``df`` with the Hilbert id of the tile in columns z, x, y, computed once per row.
+
+    Zooms beyond 26 and tiles outside their grid: NULL, or an error when ``strict``.
+    """
+    tile = F.struct(
+        F.col(z).cast("int").alias("z"), F.col(x).cast("bigint").alias("x"), F.col(y).cast("bigint").alias("y")
+    )
+    side = "shiftleft(1L, _t.z)"
+    ok = f"_t.z between 0 and {model.MAX_TILE_ZOOM} and _t.x between 0 and {side} - 1 and _t.y between 0 and {side} - 1"
+    bad = "cast(raise_error('tile outside zoom 0..26 or outside its grid') as int)" if strict else "null"
+    chunks = [
+        f"(shiftright(_t.x, {_BITS * i}) & {_SIDE - 1}) * {_SIDE} + (shiftright(_t.y, {_BITS * i}) & {_SIDE - 1})"
+        for i in reversed(range(_STEPS))
+    ]
+    position = " | ".join(
+        f"shiftleft(cast(shiftright(_h{i}, 2) as bigint), {2 * _BITS * i})" for i in range(_STEPS)
+    )
+    walked = _sealed(df, "_t", tile).selectExpr(
+        "*", f"if({ok}, _t.z, {bad}) as _z", *_walk(_tables()[0], "_z", chunks)
+    )
+    ids = walked.withColumn("_id", F.expr(f"{_zoom_base('_z')} + ({position})"))
+    return _sealed(ids, name, F.col("_id")).select(*df.columns, name)
+
+
+def tile_zoom(tid: Column) -> Column:
+    """Zoom of a tile id: 3 * id + 1 lies between 4^z and 4^(z+1)."""
+    return F.floor((F.length(F.bin(tid * 3 + 1)) - 1) / 2).cast("int")
 
 
 def with_tile_zxy(df: DataFrame, tid: str = "tile_id", strict: bool = False) -> DataFrame:
-    """``df`` with columns z, x, y of a tile id column, computed once per row."""
-    sealed = _sealed(df, "_id", F.col(tid)).withColumn("_t", tile_zxy(F.col("_id"), strict))
-    return _sealed(sealed, "_zxy", F.col("_t")).select(*df.columns, "_zxy.*")
+    """``df`` with columns z, x, y of a tile id, computed once per row.
+
+    Ids beyond zoom 26: NULL columns, or an error when ``strict``.
+    """
+    last = (4 ** (model.MAX_TILE_ZOOM + 1) - 1) // 3 - 1
+    bad = "cast(raise_error('tile id outside zoom 0..26') as bigint)" if strict else "null"
+    position = f"(_ok - {_zoom_base('_z')})"
+    chunks = [f"(shiftright({position}, {2 * _BITS * i}) & {_CELLS - 1})" for i in reversed(range(_STEPS))]
+    x = " | ".join(f"shiftleft(cast(shiftright(_h{i}, {2 + _BITS}) as bigint), {_BITS * i})" for i in range(_STEPS))
+    y = " | ".join(
+        f"shiftleft(cast(shiftright(_h{i}, 2) & {_SIDE - 1} as bigint), {_BITS * i})" for i in range(_STEPS)
+    )
+    checked = _sealed(df, "_id", F.col(tid).cast("bigint")).withColumn(
+        "_ok", F.expr(f"if(_id between 0 and {last}L, _id, {bad})")
+    )
+    walked = checked.withColumn("_z", tile_zoom(F.col("_ok"))).selectExpr(
+        "*", *_walk(_tables()[1], "_z", chunks)
+    )
+    tiles = walked.withColumn("_t", F.expr(f"struct(_z as z, {x} as x, {y} as y)"))
+    return _sealed(tiles, "_zxy", F.col("_t")).select(*df.columns, "_zxy.*")

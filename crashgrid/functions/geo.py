@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,10 +95,11 @@ def fixed_point_deg(i: Column) -> Column:
     return i / F.lit(1e7)
 
 
-def tile_url(z: Column, x: Column, y: Column, prefix: str, ext: Column | str = "") -> Column:
-    """``prefix/z/x/y`` plus an optional extension."""
-    path = F.concat_ws("/", F.lit(prefix), z.cast("string"), x.cast("string"), y.cast("string"))
-    return F.concat(path, _lit(ext))
+def tile_url(z: Column, x: Column, y: Column, template: str) -> Column:
+    """A URL template with {z}, {x} and {y} filled in."""
+    values = {"{z}": z, "{x}": x, "{y}": y}
+    parts = [p for p in re.split(r"(\{[zxy]\})", template) if p]
+    return F.concat(*[values[p].cast("string") if p in values else F.lit(p) for p in parts])
 
 
 def parse_tile_url(url: Column) -> Column:

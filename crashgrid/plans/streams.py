@@ -16,6 +16,14 @@ GAP = "6 hours"
 GAP_SECONDS = 6 * 3600.0
 DELAY = "1 hour"
 
+
+def _wall_micros(ts: str):
+    """Microseconds of the wall-clock time, whatever the session time zone."""
+    epoch = "timestamp_ntz'1970-01-01 00:00:00'"
+    micros = f"timestampdiff(MICROSECOND, {epoch}, cast({ts} as timestamp_ntz))"
+    return F.expr(micros).alias("fired_us")
+
+
 _FIRED = """
 followed as (
   select *, lead(ts) over (partition by user_id order by ts, event_id) as next_ts from keystrokes),
@@ -32,7 +40,7 @@ fired as (
 )
 def debounce(load):
     fired = sessions.debounce(load("keystrokes"), gap_seconds=GAP_SECONDS)
-    return fired.select("user_id", F.unix_micros("fired_at").alias("fired_us"), "q")
+    return fired.select("user_id", _wall_micros("fired_at"), "q")
 
 
 @stream_query(
@@ -48,7 +56,7 @@ def debounce_stream(spark, stream, load):
     path = storage.new_path(spark, "debounce")
     events.append_to(fired, path, storage.new_path(spark, "debounce-state")).awaitTermination()
     written = spark.read.schema(fired.schema).parquet(path)
-    return written.select("user_id", F.unix_micros("fired_at").alias("fired_us"), "q")
+    return written.select("user_id", _wall_micros("fired_at"), "q")
 
 
 @stream_query(

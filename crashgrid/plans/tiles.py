@@ -9,6 +9,7 @@ from crashgrid.operators import tiles
 from crashgrid.plans.registry import query
 from crashgrid.plans.sqltext import hilbert, tile_x, tile_y, unhilbert
 
+TEMPLATE = "https://tiles.example/{z}/{x}/{y}.mvt?key=none"
 _PATTERN = r"pmtiles://(.+)/(\d+)/(\d+)/(\d+)"
 _PARSED = rf"""
 parsed as (
@@ -81,7 +82,7 @@ tb as (
     sql="""select request_id, round(minlon,6) as minlon, round(minlat,6) as minlat, round(maxlon,6) as maxlon,
   round(maxlat,6) as maxlat, not (minlon>=maxlon or minlat>=maxlat) as valid,
   not (maxlon>=minlon or minlat>=maxlat) as valid_swapped,
-  'https://tiles.example/' || z || '/' || x || '/' || y || '.mvt' as tile_url from tb""",
+  'https://tiles.example/' || z || '/' || x || '/' || y || '.mvt?key=none' as tile_url from tb""",
 )
 def tile_bounds(load):
     parsed = tiles.parse_requests(load("tile_urls")).where(~F.col("bad_url"))
@@ -95,7 +96,7 @@ def tile_bounds(load):
         geo.bounds_valid(F.col("maxlon"), F.col("minlat"), F.col("minlon"), F.col("maxlat")).alias(
             "valid_swapped"
         ),
-        geo.tile_url(F.col("z"), F.col("x"), F.col("y"), "https://tiles.example", ".mvt").alias("tile_url"),
+        geo.tile_url(F.col("z"), F.col("x"), F.col("y"), TEMPLATE).alias("tile_url"),
     )
 
 

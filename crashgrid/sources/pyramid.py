@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crashgrid import model
 from crashgrid.functions import curve, geo
 from crashgrid.operators import clusters as cl
 
