@@ -85,7 +85,8 @@ def geocode(
     """
     asked = queries.withColumn("text", normalise(F.col(q))).where(F.col("text") != "")
     long_texts = asked.where(F.length("text") > INDEX_LENGTH).select("text").distinct()
-    hits = (index or search_index(places, k)).where(F.col("position") <= k)
+    short = search_index(places, k) if index is None else index
+    hits = short.where(F.col("position") <= k)
     hits = hits.unionByName(_long_hits(long_texts, places, k))
     label = place_label(F.col("name"), F.col("city"), F.col("country"))
     return salted_join(asked, hits, ["text"]).drop("text").withColumn("label", label)

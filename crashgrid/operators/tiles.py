@@ -178,8 +178,9 @@ def tileset_summary(
         F.max("lat").alias("maxlat"),
     )
     minzoom = curve.tile_zoom(F.col("_first"))
-    # Both sides are single rows of global aggregates.
-    return counters.join(F.broadcast(area)).select(
+    both = counters.unionByName(area, allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return row.select(
         "addressed_tiles",
         "tile_entries",
         "tile_contents",
