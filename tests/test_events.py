@@ -12,7 +12,7 @@ def at(ms):
     return dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
 
 
-KEYS = "user_id bigint, event_id bigint, ts timestamp, q string"
+KEYS = "user_id bigint, event_id int, ts timestamp, q string"
 
 
 def test_debounce_rules(spark):
