@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+from crashgrid.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con(small):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def no_pair_joins_and_no_python(df):
@@ -27,7 +28,7 @@ def no_pair_joins_and_no_python(df):
         assert partitions
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_matches_sql(spark, con, small, name):
     ok, text = check.compare(spark, con, small, name, no_pair_joins_and_no_python)
     assert ok, text
