@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, language, packing, prefix_counts, secret_scan
+from crashgrid.llm import bpe, language, packing, prefix_counts, quality, secret_scan
 
 QUERIES = {
     "op2_hilbert_packing": packing.op2_hilbert_packing,
+    "op4_divergence_rules": quality.op4_divergence_rules,
     "op5_prefix_counts": prefix_counts.op5_prefix_counts,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_secret_scan": secret_scan.op9_secret_scan,
