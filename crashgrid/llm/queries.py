@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, language, packing, prefix_counts, quality, secret_scan
+from crashgrid.llm import bpe, language, packing, prefix_counts, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op2_hilbert_packing": packing.op2_hilbert_packing,
     "op4_divergence_rules": quality.op4_divergence_rules,
     "op5_prefix_counts": prefix_counts.op5_prefix_counts,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_string_kernel": language.op10_string_kernel,
 }
