@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, language, packing, prefix_counts, quality, secret_scan, suffix_dedup
+from crashgrid.llm import bpe, language, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_hilbert_packing": packing.op2_hilbert_packing,
     "op4_divergence_rules": quality.op4_divergence_rules,
     "op5_prefix_counts": prefix_counts.op5_prefix_counts,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_string_kernel": language.op10_string_kernel,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE}
