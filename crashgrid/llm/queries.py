@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, language, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
+from crashgrid.llm import bpe, fingerprint, language, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_hilbert_packing": packing.op2_hilbert_packing,
+    "op3_lookup_fingerprints": fingerprint.op3_lookup_fingerprints,
     "op4_divergence_rules": quality.op4_divergence_rules,
     "op5_prefix_counts": prefix_counts.op5_prefix_counts,
     "op7_byte_bpe": bpe.op7_byte_bpe,
