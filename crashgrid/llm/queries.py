@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, fingerprint, language, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
+from crashgrid.llm import bpe, fingerprint, language, lm_scoring, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lookup_fingerprints": fingerprint.op3_lookup_fingerprints,
     "op4_divergence_rules": quality.op4_divergence_rules,
     "op5_prefix_counts": prefix_counts.op5_prefix_counts,
+    "op6_attention_scores": lm_scoring.op6_attention_scores,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
