@@ -246,7 +246,9 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def join_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``, and the row key ``_k1, _k2``.
+    """One row per document: ``doc_id, n_shingles, component_id, component, _k1, _k2``.
+
+    ``component`` tells components apart even if ids recur; the last two are the row's key.
 
     Letters A-Z count as lower case. ``component_id`` is the least id reachable by links.
     A null text, or one without words, has no n-grams and links with nothing.
@@ -283,11 +285,36 @@ def join_components(
     least = rooted.where("n > 0").groupBy("root").agg(F.min("_id").alias("_least"))
     out = rooted.join(least.hint("merge"), "root", "left")
     component = F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), "_k1", "_k2")
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("component"), "_k1", "_k2")
+
+
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component in ``found`` (from ``join_components``): the least id.
+
+    Null ids come last; equal ids are told apart by their row key, and of equal rows one
+    stays. Documents without words all stay.
+    """
+    keys = found.where("n_shingles > 0").groupBy("component", "_k1", "_k2").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("_id"), F.count("*").alias("copies")
+    )
+    first = keys.groupBy("component").agg(F.min(F.struct("_id", "_k1", "_k2", "copies")).alias("_first"))
+    first = first.select("_first._k1", "_first._k2", (F.col("_first.copies") > 1).alias("_many"))
+    empty = found.where("n_shingles = 0").select("_k1", "_k2", F.lit(False).alias("_many")).distinct()
+    wanted = materialise(first.unionByName(empty), "kept-documents")
+    ident = F.col(doc_id).cast("string")
+    body = text_column(text)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.xxhash64(ident, body).alias("_k1"), F.xxhash64(body, ident).alias("_k2")
+    )
+    kept = rows.join(wanted.hint("merge"), ["_k1", "_k2"])
+    if not wanted.where("_many").isEmpty():
+        once = kept.where("_many").dropDuplicates(["_k1", "_k2"])
+        kept = kept.where("not _many").unionByName(once)
+    return kept.select("_doc.*")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return join_components(read(spark, sf_dir)).drop("_k1", "_k2")
+    return join_components(read(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = """

@@ -216,10 +216,11 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     aggregate(_spans, named_struct('at', 0, 'out', ''),
       (acc, s) -> named_struct(
         'at', greatest(acc.at, s.end),
-        'out', if(s.start >= acc.at, concat(acc.out, substring(`{text}`, acc.at + 1, s.start - acc.at), '{mark}'), acc.out)),
-      acc -> concat(acc.out, substring(`{text}`, acc.at + 1)))"""
-    found = scan(docs, text)
-    return found.withColumn(text, F.expr(f"if(size(_spans) = 0, `{text}`, {cut})")).drop("_spans", "_base")
+        'out', if(s.start >= acc.at, concat(acc.out, substring(_body, acc.at + 1, s.start - acc.at), '{mark}'), acc.out)),
+      acc -> concat(acc.out, substring(_body, acc.at + 1)))"""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_body"))
+    clean = F.expr(f"if(size(_spans) = 0, _body, {cut})")
+    return scan(whole, "_body").select(*[clean.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
