@@ -211,7 +211,7 @@ MAX_TILE_ZOOM = 26
 PICK_RADIUS_PX = 6.5
 
 # Layer registry
-# (layer_id, source, source_layer, minzoom, maxzoom, visible at load).
+# (layer_id, source, source_layer, minzoom, maxzoom, visible at load); None: no limit.
 LAYERS = [
     ("clusters-coarse-layer", "accidents-cluster", "clusters_6_8", 6.0, 9.0, True),
     ("clusters-fine-layer", "accidents-cluster", "clusters_9_11", 9.0, 11.0, True),
@@ -220,8 +220,10 @@ LAYERS = [
     ("beteiligung-symbols-11-12", "accidents_11-12", "accidents", 11.0, 12.0, False),
     ("beteiligung-symbols-12-13", "accidents_12-13", "accidents", 12.0, 20.1, False),
     ("satellite-layer", "satellite", None, None, None, False),
-    ("mapillary-images-layer", "mapillary-images", "image", 14.0, 14.99, False),
+    ("mapillary-images-layer", "mapillary-images", "image", 14.0, None, False),
 ]
+# (source, deepest zoom with tiles of its own): beyond it the deepest tiles are shown again.
+SOURCE_MAXZOOM = {"mapillary-images": 14.99}
 COARSE_LAYER = "clusters_6_8"
 FINE_LAYER = "clusters_9_11"
 

@@ -23,6 +23,7 @@ def visible_layers(
 ) -> DataFrame:
     """One row per view and visible layer: the zoom lies in [minzoom, maxzoom) and it is on.
 
+    Limits are those of the layers; a source that ends earlier shows its deepest tiles.
     ``toggles`` overrides the visibility at load per layer id. The registry has
     eight rows, so each view row expands into at most eight.
     """
@@ -31,7 +32,8 @@ def visible_layers(
     candidates = []
     for layer_id, _, source_layer, lo, hi, visible in model.LAYERS:
         if toggles.get(layer_id, visible):
-            shown = F.lit(True) if lo is None else (zoom >= lo) & (zoom < hi)
+            shown = F.lit(True) if lo is None else zoom >= lo
+            shown = shown if hi is None else shown & (zoom < hi)
             row = F.struct(F.lit(layer_id).alias("layer_id"), F.lit(source_layer).alias("source_layer"))
             candidates.append(F.when(shown, row))
     layers = F.array_compact(F.array(*candidates))

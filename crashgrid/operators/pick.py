@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crashgrid import model
 from crashgrid.functions import geo
 from crashgrid.operators import grid
-from crashgrid.operators.skew import salted_join, sized_join
+from crashgrid.operators.skew import sized_join
 
 CURSOR = ["lon", "lat", "zoom"]
 _KEY = ["c_lon", "c_lat", "zoom"]
@@ -82,4 +82,4 @@ def pick(
             F.col("best.distance_px").alias("distance_px"),
         )
     )
-    return salted_join(cursors, best, CURSOR)
+    return sized_join(cursors, best, CURSOR)

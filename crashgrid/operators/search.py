@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crashgrid import model
 from crashgrid.functions.text import place_label
 from crashgrid.operators.filters import search_bbox
-from crashgrid.operators.skew import salted_join, sized_join
+from crashgrid.operators.skew import sized_join
 
 INDEX_LENGTH = 64
 
@@ -22,12 +22,13 @@ def _named(places: DataFrame) -> DataFrame:
     return search_bbox(places).withColumn("_n", normalise(F.col("name"))).where(F.length("_n") > 0)
 
 
-def _pieces(least: int, most: int) -> Column:
-    """Distinct substrings of ``_n`` whose length lies between the two."""
+def _pieces(least: int, most: int | None) -> Column:
+    """Distinct substrings of ``_n`` of at least and, if given, at most so many characters."""
     starts = F.sequence(F.lit(1), F.length("_n") - least + 1)
 
     def at(start: Column) -> Column:
-        sizes = F.sequence(F.lit(least), F.least(F.lit(most), F.length("_n") - start + 1))
+        rest = F.length("_n") - start + 1
+        sizes = F.sequence(F.lit(least), rest if most is None else F.least(F.lit(most), rest))
         return F.transform(sizes, lambda size: F.substring("_n", start, size))
 
     pieces = F.array_distinct(F.flatten(F.transform(starts, at)))
@@ -53,22 +54,19 @@ def search_index(places: DataFrame, k: int = model.SEARCH_LIMIT) -> DataFrame:
 
     Each task keeps k rows per text before the shuffle, so a text found in every
     name costs k rows per task. The index does not depend on the queries; store it
-    to serve many batches.
+    to serve many batches. Column ``k`` says how many hits it was made for.
     """
     texts = _named(places).withColumn("text", F.explode(_pieces(1, INDEX_LENGTH)))
-    return _best(texts, k, places.columns)
+    return _best(texts, k, places.columns).withColumn("k", F.lit(k))
 
 
-def _long_hits(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """``search_index`` rows for given texts of more than 64 characters.
+def _hits_of(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """The best k places for the given distinct texts only.
 
-    Joined on the first 64 characters, then compared in full. Only places with
-    names that long take part.
+    Parts of names that nobody asked for are dropped before anything is ranked.
     """
-    anchors = _named(places).withColumn("_a", F.explode(_pieces(INDEX_LENGTH, INDEX_LENGTH)))
-    asked = texts.withColumn("_a", F.substring("text", 1, INDEX_LENGTH))
-    matches = sized_join(anchors, asked, ["_a"]).where(F.contains("_n", "text"))
-    return _best(matches, k, places.columns)
+    parts = _named(places).withColumn("text", F.explode(_pieces(1, None)))
+    return _best(sized_join(parts, texts, ["text"], "left_semi"), k, places.columns)
 
 
 def geocode(
@@ -80,16 +78,21 @@ def geocode(
 ) -> DataFrame:
     """Hits of every query, best first: (query columns, position, place columns, label).
 
-    ``index`` is a stored ``search_index`` of the same places with at least k hits.
-    Many users type the same text, so hits are found per text and then joined back.
+    ``index`` is a stored ``search_index`` of the same places; reading it fails if it was
+    made for fewer than k hits. It serves texts of up to 64 characters. Many users type
+    the same text, so hits are found per text and then joined back.
     """
     asked = queries.withColumn("text", normalise(F.col(q))).where(F.col("text") != "")
-    long_texts = asked.where(F.length("text") > INDEX_LENGTH).select("text").distinct()
-    short = search_index(places, k) if index is None else index
-    hits = short.where(F.col("position") <= k)
-    hits = hits.unionByName(_long_hits(long_texts, places, k))
+    texts = asked.select("text").distinct()
+    if index is None:
+        hits = _hits_of(texts, places, k)
+    else:
+        message = F.lit(f"the stored index has fewer than {k} hits per text")
+        enough = F.when(F.col("k") < k, F.raise_error(message)).isNull()
+        stored = index.where(enough & (F.col("position") <= k)).drop("k")
+        hits = stored.unionByName(_hits_of(texts.where(F.length("text") > INDEX_LENGTH), places, k))
     label = place_label(F.col("name"), F.col("city"), F.col("country"))
-    return salted_join(asked, hits, ["text"]).drop("text").withColumn("label", label)
+    return sized_join(asked, hits, ["text"]).drop("text").withColumn("label", label)
 
 
 def first_hit(

@@ -2,74 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-ROWS_PER_SALT = 500_000
-MAX_HOT_KEYS = 10_000
-NULL_SALTS = 1024
-
-
-def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Keys with more than ``rows_per_salt`` rows and the number of salts each needs.
-
-    At most MAX_HOT_KEYS rows come back, so the result is always small enough to
-    broadcast. A key that falls off this list holds under 1/MAX_HOT_KEYS of the
-    rows; it is joined unsalted and its result is the same.
-    """
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_salt)
-    top = heavy.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
-    return top.select(*keys, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts"))
 
 
 def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Sort-merge join for sides whose size Spark underestimates before it runs.
 
     An exploded side is estimated at the size of its input and would be broadcast
-    too readily. Sort-merge spills, and adaptive execution splits skewed partitions.
+    too readily. Sort-merge spills, and adaptive execution splits the partitions of hot
+    keys by the tasks that wrote them (both sides of an inner join, the left side of the
+    others), whatever the rows look like and without counting keys first.
     """
     return left.join(right.hint("merge"), keys, how)
-
-
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    rows_per_salt: int = ROWS_PER_SALT,
-    both: bool = False,
-) -> DataFrame:
-    """``big.join(small, keys, how)`` with the hot keys of ``big`` spread over salts.
-
-    ``how`` is inner, left, left_semi or left_anti. With ``both`` the hot keys of
-    ``small`` are spread as well, which needs an inner join. Rows with a NULL key
-    match nothing and are spread too. The salt is a hash of the row, so a recomputed
-    task gives the same answer.
-    """
-    if both and how != "inner":
-        raise ValueError("salting both sides needs an inner join")
-    left, right = _salt(big, small, keys, "_salt", rows_per_salt)
-    salts = ["_salt"]
-    if both:
-        right, left = _salt(right, left, keys, "_salt_r", rows_per_salt)
-        salts.append("_salt_r")
-    return sized_join(left, right, [*keys, *salts], how).drop(*salts)
-
-
-def _salt(
-    spread: DataFrame, copied: DataFrame, keys: list[str], salt_name: str, rows_per_salt: int
-) -> tuple[DataFrame, DataFrame]:
-    """Add the salt column: a hash on one side, one copy per salt on the other."""
-    hot = F.broadcast(hot_keys(spread, keys, rows_per_salt))
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    salts = F.coalesce(F.col("_salts"), F.when(no_key, NULL_SALTS), F.lit(1))
-    hashed = [name for name, kind in spread.dtypes if "map<" not in kind]
-    salt = F.pmod(F.xxhash64(*hashed), salts).cast("int")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    return (
-        spread.join(hot, keys, "left").select(*spread.columns, salt.alias(salt_name)),
-        copied.join(hot, keys, "left").select(*copied.columns, F.explode(copies).alias(salt_name)),
-    )

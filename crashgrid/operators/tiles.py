@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from crashgrid import model
 from crashgrid.functions import curve, geo
 from crashgrid.operators.filters import in_archive_zoom
-from crashgrid.operators.skew import salted_join
+from crashgrid.operators.skew import sized_join
 
 BLOCK_BITS = 6
+#: Runs are cut into blocks of up to 64^(TIERS - 1) ids, whatever their length.
+TIERS = 5
+#: Runs are expanded by way of blocks of these many ids, so no row holds a long array.
+EXPAND_BITS = (40, 20)
 COMPACT_BITS = (18, 36, 53)
 
 
@@ -58,44 +62,30 @@ def _run_blocks(entries: DataFrame, tiers: int) -> DataFrame:
     return data.withColumn("_c", cut).select(*entries.columns, "_c.*")
 
 
-def _tiers(entries: DataFrame, max_run: int | None) -> int:
-    if max_run is None:
-        max_run = entries.agg(F.max("run_length")).first()[0] or 1
-    tiers = 1
-    while max_run >> (BLOCK_BITS * tiers):
-        tiers += 1
-    return tiers
-
-
-def tile_lookup(requests: DataFrame, entries: DataFrame, max_run: int | None = None) -> DataFrame:
+def tile_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Requests joined with the run that covers their tile id; unresolved ones drop out.
 
     ``entries`` are runs that do not overlap, so the run with the greatest start at
     or before the id is the only candidate. Runs are cut into aligned blocks, which
-    turns the interval search into an equi join. ``max_run`` is the longest run; it
-    is read from ``entries`` when not given.
+    turns the interval search into an equi join.
     """
-    tiers = _tiers(entries, max_run)
-    runs = _run_blocks(entries, tiers).withColumnRenamed("tile_id", "run_start")
+    runs = _run_blocks(entries, TIERS).withColumnRenamed("tile_id", "run_start")
     columns = [c for c in runs.columns if c not in ("tier", "block")]
-    probes = F.explode(F.array(*[F.lit(t) for t in range(tiers)]))
+    probes = F.explode(F.array(*[F.lit(t) for t in range(TIERS)]))
     keyed = requests.where(F.col("tile_id").isNotNull()).withColumn("tier", probes)
     block = F.expr(f"shiftright(tile_id, {BLOCK_BITS} * tier)")
-    hits = salted_join(keyed.withColumn("block", block), runs, ["tier", "block"])
+    hits = sized_join(keyed.withColumn("block", block), runs, ["tier", "block"])
     return hits.select(*requests.columns, *columns)
 
 
-def missing_tiles(
-    requests: DataFrame, entries: DataFrame, max_run: int | None = None, strict: bool = False
-) -> DataFrame:
-    """Requests that ``tile_lookup`` does not resolve; ``strict`` raises on the first one."""
-    tiers = _tiers(entries, max_run)
-    runs = _run_blocks(entries, tiers)
-    left = requests
-    for t in range(tiers):
-        blocks = runs.where(F.col("tier") == t).select("block")
-        keyed = left.withColumn("block", F.shiftright("tile_id", BLOCK_BITS * t))
-        left = salted_join(keyed, blocks, ["block"], "left_anti").drop("block")
+def missing_tiles(requests: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
+    """Requests that ``tile_lookup`` does not resolve; ``strict`` raises on the first one.
+
+    Every asked tile id is looked up once, and requests without a resolved id remain.
+    """
+    asked = requests.where(F.col("tile_id").isNotNull()).select("tile_id").distinct()
+    found = tile_lookup(asked, entries.select("tile_id", "run_length")).select("tile_id")
+    left = sized_join(requests, found, ["tile_id"], "left_anti").select(*requests.columns)
     if strict:
         message = F.concat(F.lit("tile not found: "), F.col("tile_id").cast("string"))
         left = left.where(F.raise_error(message).isNull())
@@ -103,18 +93,37 @@ def missing_tiles(
 
 
 def resolve_urls(
-    requests: DataFrame, entries: DataFrame, minzoom: int, maxzoom: int, max_run: int | None = None
+    requests: DataFrame, entries: DataFrame, minzoom: int, maxzoom: int
 ) -> DataFrame:
     """URL requests resolved to their run; zooms outside the archive give no result."""
     inside = parse_requests(requests).where(in_archive_zoom(F.col("z"), minzoom, maxzoom))
-    return tile_lookup(inside, entries, max_run)
+    return tile_lookup(inside, entries)
+
+
+def _blocks(runs: DataFrame, bits: int) -> DataFrame:
+    """Runs cut at multiples of 2^bits."""
+    last = F.col("tile_id") + F.col("run_length") - 1
+    blocks = F.sequence(F.shiftright("tile_id", bits), F.shiftright(last, bits))
+    cut = runs.withColumn("_end", last + 1).withColumn("_b", F.explode(blocks))
+    low = F.greatest(F.col("tile_id"), F.shiftleft("_b", bits))
+    high = F.least(F.col("_end"), F.shiftleft(F.col("_b") + 1, bits))
+    rest = [c for c in runs.columns if c not in ("tile_id", "run_length")]
+    return cut.select(low.alias("tile_id"), (high - low).alias("run_length"), *rest)
+
+
+def expand_blocks(entries: DataFrame) -> DataFrame:
+    """Runs of any length as runs of at most 2^20 tiles."""
+    runs = entries.where(F.col("run_length") > 0)
+    for bits in EXPAND_BITS:
+        runs = _blocks(runs, bits)
+    return runs
 
 
 def expand_runs(entries: DataFrame) -> DataFrame:
     """One row per tile of every run."""
     ids = F.sequence(F.col("tile_id"), F.col("tile_id") + F.col("run_length") - 1)
     rest = [c for c in entries.columns if c not in ("tile_id", "run_length")]
-    return entries.where(F.col("run_length") > 0).select(F.explode(ids).alias("tile_id"), *rest)
+    return expand_blocks(entries).select(F.explode(ids).alias("tile_id"), *rest)
 
 
 def _merge_runs(runs: DataFrame, bits: int) -> DataFrame:
@@ -196,10 +205,32 @@ def tileset_summary(
     )
 
 
-def tilejson(summary: DataFrame, base_url: str, tile_type: int) -> DataFrame:
-    """The summary as one TileJSON-shaped struct column."""
+def tilejson(
+    summary: DataFrame,
+    base_url: str,
+    tile_type: int,
+    fields: DataFrame | None = None,
+    metadata: dict[str, str] | None = None,
+) -> DataFrame:
+    """The summary as one TileJSON-shaped struct column.
+
+    ``fields`` comes from ``layer_fields`` (layer, fields) and becomes ``vector_layers``,
+    with the zoom range of the set. ``metadata`` may give name, description, attribution
+    and version.
+    """
     ext = model.TILE_TYPE_EXTENSIONS.get(tile_type, "")
-    return summary.select(
+    texts = [F.lit((metadata or {}).get(k)).cast("string").alias(k) for k in ("name", "description", "attribution", "version")]
+    layer = "array<struct<id:string,fields:array<string>>>"
+    if fields is None:
+        joined = summary.withColumn("_layers", F.array().cast(layer))
+    else:
+        # One row on either side: the registry of layers is small.
+        every = fields.agg(
+            F.sort_array(F.collect_list(F.struct(F.col("layer").alias("id"), "fields"))).alias("_layers")
+        )
+        joined = summary.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    vector_layers = F.transform("_layers", lambda x: F.struct(x["id"].alias("id"), x["fields"].alias("fields"), F.col("minzoom").alias("minzoom"), F.col("maxzoom").alias("maxzoom")))
+    return joined.select(
         F.struct(
             F.lit("3.0.0").alias("tilejson"),
             F.lit("xyz").alias("scheme"),
@@ -208,5 +239,7 @@ def tilejson(summary: DataFrame, base_url: str, tile_type: int) -> DataFrame:
             F.array("center_lon", "center_lat", F.col("center_zoom").cast("double")).alias("center"),
             "minzoom",
             "maxzoom",
+            vector_layers.alias("vector_layers"),
+            *texts,
         ).alias("tilejson")
     )

@@ -126,15 +126,21 @@ def visible_points(load):
     "visible_cluster_total",
     "accidents",
     ctes=(PYRAMID, f"b as (select {bounds('13.634e0', '52.315e0', '7e0', '1024', '768')})"),
-    sql="""select cast(coalesce(sum(point_count),0) as bigint) as total from pyramid, b
-where zoom in (7,9) and lon between minlon and maxlon and lat between minlat and maxlat""",
+    sql="""select cast(coalesce(sum(case when cx%5<>0 then point_count end),0) as bigint) as total from pyramid, b
+where zoom=7 and lon between minlon and maxlon and lat between minlat and maxlat""",
 )
 def visible_cluster_total(load):
-    every = cl.cluster_pyramid(load("accidents"))
-    both = layers.union_layers(every.where(F.col("zoom") == 7), every.where(F.col("zoom") == 9))
-    b = geo.viewport_bounds(F.lit(13.634), F.lit(52.315), F.lit(7.0), 1024, 768)
+    """Both cluster layers are asked, but only the one of the view's zoom is drawn."""
+    zoom = F.lit(7.0)
+    every = cl.cluster_pyramid(load("accidents"), zooms=(7, 9))
+    # Some clusters come without a count.
+    every = every.withColumn("point_count", F.when(F.col("cx") % 5 != 0, F.col("point_count")))
+    coarse = every.where(F.col("zoom") == 7).withColumn("layer", F.lit(model.COARSE_LAYER))
+    fine = every.where(F.col("zoom") == 9).withColumn("layer", F.lit(model.FINE_LAYER))
+    drawn = layers.union_layers(coarse, fine).where(F.col("layer") == cl.cluster_layer(zoom))
+    b = geo.viewport_bounds(F.lit(13.634), F.lit(52.315), zoom, 1024, 768)
     inside = F.col("lon").between(b["minlon"], b["maxlon"]) & F.col("lat").between(b["minlat"], b["maxlat"])
-    return cl.visible_cluster_total(both, inside)
+    return cl.visible_cluster_total(drawn, inside)
 
 
 @query(
@@ -215,7 +221,9 @@ def selection_texts(states):
     "accidents views toggles",
     ctes=(
         VIEW_BOUNDS,
-        _LAST_TOGGLES,
+        _LAST_TOGGLES.replace(
+            "select distinct session_id from boxes", "select session_id from boxes union select session_id from views"
+        ),
         """strips as (
   select *, unnest(generate_series(cast(floor(minlon*5) as bigint), cast(floor(maxlon*5) as bigint))) as strip
   from vb where zoom>=11)""",
@@ -232,8 +240,7 @@ where len(s.ukategorie)+len(s.uart)+len(s.utyp1)+len(flags)>0
     + ")",
 )
 def viewport_join(load):
-    states = sessions.selection_state(load("toggles"))
-    views = load("views").join(states, "session_id").drop("session_id", "ts")
+    views = sessions.with_state(load("views"), sessions.selection_state(load("toggles"))).drop("session_id", "ts")
     accidents = load("accidents").select(
         "OBJECTID", "UKATEGORIE", "lon", "lat", accident_boxes().alias("boxes")
     )
@@ -324,20 +331,21 @@ def accidents_near_place(load):
     sql=f"""select 'accidents' as layer, 12 as zoom, x, y, count(*) as n from
   (select {tile_x('lon', '4096')} as x, {tile_y('lat', '4096')} as y from accidents) group by x, y
 union all
-select 'clusters_9_11', zoom, {tile_x('lon', 'power(2e0,zoom)')} as x, {tile_y('lat', 'power(2e0,zoom)')} as y,
-  cast(sum(point_count) as bigint) from pyramid where zoom>=9 group by all""",
+select case when zoom<9 then 'clusters_6_8' else 'clusters_9_11' end, zoom,
+  {tile_x('lon', 'power(2e0,zoom)')} as x, {tile_y('lat', 'power(2e0,zoom)')} as y,
+  cast(sum(point_count) as bigint) from pyramid group by all""",
 )
 def layer_store(load):
-    """Write the layers, read two of them back and count what each tile holds."""
+    """Write the layers, read them back and count what each tile holds."""
     accidents = load("accidents")
     spark = accidents.sparkSession
     path = storage.new_path(spark, "layers")
     pyramid.write_pyramid(accidents, path)
     points = scans.read_layer(spark, path, pyramid.POINT_LAYER)
-    fine = scans.read_layer(spark, path, model.FINE_LAYER)
+    clusters = [scans.read_layer(spark, path, name) for name in (model.COARSE_LAYER, model.FINE_LAYER)]
     counts = layers.union_layers(
         points.select("layer", "zoom", "tile_id", F.lit(1).cast("bigint").alias("n")),
-        fine.select("layer", "zoom", "tile_id", F.col("point_count").alias("n")),
+        *[c.select("layer", "zoom", "tile_id", F.col("point_count").alias("n")) for c in clusters],
     )
     totals = counts.groupBy("layer", "zoom", "tile_id").agg(F.sum("n").alias("n"))
     return curve.with_tile_zxy(totals).select("layer", "zoom", "x", "y", "n")

@@ -288,13 +288,17 @@ def in_viewport_counts(load):
         """registry(layer_id, source_layer, minzoom, maxzoom) as (values
   ('clusters-coarse-layer','clusters_6_8',6e0,9e0), ('clusters-fine-layer','clusters_9_11',9e0,11e0),
   ('accident-points-11-12','accidents',11e0,12e0), ('accident-points-12-13','accidents',12e0,20.1e0),
-  ('mapillary-images-layer','image',14e0,14.99e0))""",
+  ('mapillary-images-layer','image',14e0,1e9)),
+  seen as (select view_id, case when view_id%37=0 then 14.99e0 else zoom end as zoom from views)""",
     ),
-    sql="""select view_id, zoom, layer_id, source_layer from views join registry
+    sql="""select view_id, zoom, layer_id, source_layer from seen join registry
 on zoom>=minzoom and zoom<maxzoom""",
 )
 def visible_layers(load):
-    shown = layers.visible_layers(load("views"), toggles={"mapillary-images-layer": True})
+    # Image mode holds the view at 14.99.
+    zoom = F.when(F.col("view_id") % 37 == 0, 14.99).otherwise(F.col("zoom"))
+    views = load("views").withColumn("zoom", zoom)
+    shown = layers.visible_layers(views, toggles={"mapillary-images-layer": True})
     return shown.select("view_id", "zoom", "layer_id", "source_layer")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crashgrid.functions import curve, geo
-from crashgrid.operators import tiles
+from crashgrid.operators import layers, tiles
 from crashgrid.plans.registry import query
 from crashgrid.plans.sqltext import hilbert, tile_x, tile_y, unhilbert
 
@@ -182,15 +182,65 @@ def compact_expand_round_trip(load):
     return tiles.expand_runs(tiles.compact_runs(load("tile_contents")))
 
 
+# Zoom of a tile id: the number of ids on all levels above is (4^z - 1) / 3.
+_SPREAD = """
+spread as (select tile_id*(1+data_offset//1000%37) as tile_id, run_length, data_length from tile_entries),
+starts as (select z, cast((power(4,z)-1)/3 as bigint) as first from generate_series(0,26) t(z)),
+ends as (select min(tile_id) as lo, max(tile_id+run_length-1) as hi from spread),
+zooms as (select (select max(z) from starts where first<=lo) as minzoom, (select max(z) from starts where first<=hi) as maxzoom from ends)"""
+_SUMMARY = """
+summary as (
+select cast(sum(run_length) as bigint) as addressed_tiles, count(*) as tile_entries,
+  count(distinct data_length) as tile_contents, minzoom, maxzoom, minlon, minlat, maxlon, maxlat,
+  (minlon+maxlon)/2 as center_lon, (minlat+maxlat)/2 as center_lat, minzoom as center_zoom
+from spread, zooms, (select min(lon) as minlon, min(lat) as minlat, max(lon) as maxlon, max(lat) as maxlat from accidents)
+group by all)"""
+
+
+def _spread(load):
+    """Tile entries moved to ids on several zooms."""
+    factor = F.expr("1 + data_offset div 1000 % 37")
+    return load("tile_entries").withColumn("tile_id", F.col("tile_id") * factor)
+
+
+@query("tileset_summary", "tile_entries accidents", ctes=(_SPREAD, _SUMMARY), sql="select * from summary")
+def tileset_summary(load):
+    return tiles.tileset_summary(_spread(load), load("accidents"), content="data_length")
+
+
 @query(
-    "tileset_summary",
+    "tilejson",
     "tile_entries accidents",
-    sql="""
-select cast(sum(run_length) as bigint) as addressed_tiles, count(*) as tile_entries,
-  count(distinct data_length) as tile_contents, 11 as minzoom, 11 as maxzoom, minlon, minlat, maxlon, maxlat,
-  (minlon+maxlon)/2 as center_lon, (minlat+maxlat)/2 as center_lat, 11 as center_zoom
-from tile_entries, (select min(lon) as minlon, min(lat) as minlat, max(lon) as maxlon, max(lat) as maxlat from accidents)
-group by all""",
+    ctes=(
+        _SPREAD,
+        _SUMMARY,
+        """named as (select case when UART is null then 'no_kind' else 'full' end as layer, * from accidents),
+attrs as (select distinct layer, 'UART' as a from named where UART is not null
+  union all select distinct layer, 'lon' from named where lon is not null)""",
+    ),
+    sql="""select '3.0.0' as version, 'https://tiles.example/{z}/{x}/{y}.mvt' as tiles, 'accidents' as name,
+  cast(null as varchar) as attribution, minzoom, maxzoom, minlon, maxlat, center_lon, cast(center_zoom as double) as center_zoom,
+  (select string_agg(layer || ':' || f, ';' order by layer) from (select layer, string_agg(a, ',' order by a) as f from attrs group by layer)) as layers
+from summary""",
 )
-def tileset_summary(load):
-    return tiles.tileset_summary(load("tile_entries"), load("accidents"), content="data_length")
+def tilejson(load):
+    layer = F.when(F.col("UART").isNull(), F.lit("no_kind")).otherwise(F.lit("full"))
+    fields = layers.layer_fields(load("accidents").select(layer.alias("layer"), "UART", "lon"))
+    summary = tiles.tileset_summary(_spread(load), load("accidents"), content="data_length")
+    doc = tiles.tilejson(summary, "https://tiles.example", 1, fields, {"name": "accidents"})
+    named = F.transform(
+        "tilejson.vector_layers", lambda x: F.concat(x["id"], F.lit(":"), F.array_join(x["fields"], ","))
+    )
+    return doc.select(
+        F.col("tilejson.tilejson").alias("version"),
+        F.get("tilejson.tiles", F.lit(0)).alias("tiles"),
+        "tilejson.name",
+        "tilejson.attribution",
+        "tilejson.minzoom",
+        "tilejson.maxzoom",
+        F.get("tilejson.bounds", F.lit(0)).alias("minlon"),
+        F.get("tilejson.bounds", F.lit(3)).alias("maxlat"),
+        F.get("tilejson.center", F.lit(0)).alias("center_lon"),
+        F.get("tilejson.center", F.lit(2)).alias("center_zoom"),
+        F.array_join(named, ";").alias("layers"),
+    )

@@ -44,7 +44,7 @@ from {supplier} join {nation} on s_nationkey=n_nationkey join {region} on n_regi
 with c as (
   select event_id, user_id, ts, case when event_id%3=0 then 1 else event_id%1000 end as centre
   from {events})
-select event_id as view_id, user_id as session_id, ts,
+select event_id as view_id, case when event_id%11=0 then -1-user_id else user_id end as session_id, ts,
   5.9e0+((centre*7919+13)%9100)/1000e0 as center_lon,
   47.3e0+((centre*104729+7)%7700)/1000e0 as center_lat,
   6e0+(event_id%19)/2e0 as zoom, 1000 as width_px, 768 as height_px

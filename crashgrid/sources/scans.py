@@ -14,15 +14,23 @@ def read_accidents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(model.ACCIDENT).parquet(path)
 
 
-def read_accidents_csv(spark: SparkSession, path: str, sep: str = ";", **options) -> DataFrame:
+def read_accidents_csv(
+    spark: SparkSession, path: str, sep: str = ";", coordinates: tuple[str, str] = ("lon", "lat"), **options
+) -> DataFrame:
     """Accident points from delimited text with a header; unknown columns are ignored.
 
-    Columns are matched by header name, so files of different years may order
-    them differently. Values that are not numbers become NULL, and a decimal
-    comma is accepted in the coordinates.
+    Columns are matched by header name. All files of one call must have the same header,
+    else reading fails; union the calls for files of different years. ``coordinates``
+    names the columns of lon and lat where they differ; a file without them is refused.
+    Values that are not numbers become NULL, and a decimal comma is accepted in the
+    coordinates.
     """
-    raw = spark.read.options(header=True, sep=sep, inferSchema=False, **options).csv(path)
+    raw = spark.read.options(header=True, sep=sep, inferSchema=False, enforceSchema=False, **options).csv(path)
     present = {c.lower(): c for c in raw.columns}
+    for name, source in zip(("lon", "lat"), coordinates, strict=True):
+        if source.lower() not in present:
+            raise ValueError(f"no column {source} in {path}")
+        present[name] = present[source.lower()]
     columns = []
     for field in model.ACCIDENT:
         source = present.get(field.name.lower())
@@ -50,27 +58,26 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
 
 
 _PLACE_FEATURE = (
-    "struct<properties: struct<place_id: bigint, name: string, city: string, country: string>, "
-    "geometry: struct<coordinates: array<double>>>"
+    "properties: struct<place_id: bigint, name: string, city: string, country: string>, "
+    "geometry: struct<coordinates: array<double>>"
 )
+_PLACE_DOCUMENT = f"struct<{_PLACE_FEATURE}, features: array<struct<{_PLACE_FEATURE}>>>"
 
 
 def places_from_geojson(features: DataFrame, column: str = "value") -> DataFrame:
-    """Flat places from one GeoJSON point feature per row of ``column``."""
-    f = features.select(F.from_json(F.col(column), _PLACE_FEATURE).alias("f"))
+    """Flat places from GeoJSON in ``column``: a point feature or a FeatureCollection per row."""
+    parsed = features.select(F.from_json(F.col(column), _PLACE_DOCUMENT).alias("d"))
+    single = F.array(F.struct("d.properties", "d.geometry"))
+    f = parsed.select(F.explode(F.coalesce("d.features", single)).alias("f"))
     xy = F.col("f.geometry.coordinates")
-    return f.select("f.properties.*", F.get(xy, 0).alias("lon"), F.get(xy, 1).alias("lat"))
+    return f.select("f.properties.*", F.get(xy, F.lit(0)).alias("lon"), F.get(xy, F.lit(1)).alias("lat"))
 
 
-def read_places_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Places from newline-delimited GeoJSON features."""
-    return places_from_geojson(spark.read.text(path))
+def read_places_geojson(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Places from newline-delimited GeoJSON; ``whole`` reads every file as one document."""
+    return places_from_geojson(spark.read.text(path, wholetext=whole))
 
 
 def read_tile_requests(spark: SparkSession, path: str) -> DataFrame:
     """Request log with one tile URL per line."""
     return spark.read.text(path).select(F.col("value").alias("url"))
-
-
-def read_tile_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(model.TILE_ENTRY).parquet(path)

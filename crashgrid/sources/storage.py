@@ -8,11 +8,23 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Frees the shuffle files of a finished write; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only when unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of the driver may leave it unset; it then
+    gets a fresh local folder. On a cluster every machine would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or _local_dir()).rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return _local_dir()
 
 
 @cache
@@ -28,8 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
-    For an expensive plan with several readers; it also ends the lineage.
+    For an expensive plan with several readers; it also ends the lineage, so the shuffle
+    files behind it are freed.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

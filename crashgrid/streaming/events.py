@@ -79,15 +79,23 @@ def update_into(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda batch: batch,
     trigger: dict = RUN_ONCE,
+    reread: bool = False,
 ) -> StreamingQuery:
     """Write each batch of changed rows to ``path/batch=<id>``.
 
-    A batch that is replayed after a failure overwrites its own folder, so no row
+    ``reread`` holds a batch that ``transform`` reads several times; not for a stream with
+    state. A batch that is replayed after a failure overwrites its own folder, so no row
     is written twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if reread:
+            batch = batch.persist()
+        try:
+            transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            if reread:
+                batch.unpersist()
 
     return (
         stream.writeStream.outputMode("update")
@@ -130,4 +138,4 @@ def view_count_stream(
         pyramid = spark.read.parquet(f"{index}/clusters")
         return viewport.view_counts(batch, pyramid=pyramid, index=stored)
 
-    return update_into(views, path, checkpoint, count, trigger)
+    return update_into(views, path, checkpoint, count, trigger, reread=True)

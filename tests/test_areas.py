@@ -157,6 +157,27 @@ def test_search_ranks_and_lengths(spark):
     ]
 
 
+def test_a_stored_index_must_hold_enough_hits(spark, load):
+    places = load("places")
+    asked = spark.createDataFrame([(1, "supplier")], "search_id int, q string")
+    stored = search.search_index(places, 8)
+    want = search.geocode(asked, places, k=8)
+    assert search.geocode(asked, places, k=8, index=stored).exceptAll(want).count() == 0 and want.count() == 8
+    with pytest.raises(Exception, match="fewer than 9 hits"):
+        search.geocode(asked, places, k=9, index=stored).collect()
+
+
+def test_only_asked_texts_are_ranked(spark):
+    start = "x" * 100
+    rows = [(i, f"{start}{i:03d}", None, None, 10.0, 50.0) for i in range(60)]
+    places = spark.createDataFrame(rows, "place_id bigint, name string, city string, country string, lon double, lat double")
+    asked = spark.createDataFrame([(1, start + "007"), (2, start), (3, start + "x")], "search_id int, q string")
+    got = [(r.search_id, r.place_id) for r in search.geocode(asked, places).orderBy("search_id", "position").collect()]
+    assert got == [(1, 7), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]
+    plan = search.geocode(asked, places)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("LeftSemi")  # the semi join lies below
+
+
 def test_search_keeps_k_rows_per_task_before_the_shuffle(load):
     plan = search.search_index(load("places"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
@@ -173,3 +194,45 @@ def test_pyramid_store(spark, load, tmp_path):
     ids = layer.withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("tile_id").alias("lo"), F.max("tile_id").alias("hi"))
     spans = sorted((r.lo, r.hi) for r in ids.collect())
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_csv_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("OBJECTID;lon;lat\n1;8,5;50,25\n")
+    one = scans.read_accidents_csv(spark, str(tmp_path)).collect()
+    assert [(r.OBJECTID, r.lon, r.lat, r.UART) for r in one] == [(1, 8.5, 50.25, None)]
+    (tmp_path / "b.csv").write_text("lat;lon;OBJECTID\n51;9;2\n")
+    with pytest.raises(Exception, match="CSV header does not conform|INCOMPATIBLE|does not conform"):
+        scans.read_accidents_csv(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError, match="no column X"):
+        scans.read_accidents_csv(spark, str(tmp_path / "a.csv"), coordinates=("X", "lat"))
+
+
+def test_feature_collections(spark):
+    one = '{"properties":{"place_id":1,"name":"A"},"geometry":{"coordinates":[8.0,50.0]}}'
+    docs = spark.createDataFrame([(one,), ('{"features":[%s,%s]}' % (one, one.replace("1", "2")),), ('{"features":[]}',), (None,)], "value string")
+    rows = [tuple(r)[:2] + (r.lon, r.lat) for r in scans.places_from_geojson(docs).where("place_id is not null").collect()]
+    assert sorted(rows) == [(1, "A", 8.0, 50.0), (1, "A", 8.0, 50.0), (2, "A", 8.0, 50.0)]
+
+
+def test_views_of_sessions_without_toggles(spark):
+    from crashgrid.operators import sessions
+
+    views = spark.createDataFrame([(1, 5), (2, 6)], "view_id int, session_id int")
+    states = spark.createDataFrame([(5, 3)], "session_id int, mask bigint")
+    rows = {r.view_id: r.mask for r in sessions.with_state(views, states).collect()}
+    assert rows == {1: 3, 2: sum(model.legend_bits().values())}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from crashgrid.sources import storage
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///tmp/x/"
+    assert storage.shared_dir(Session()) == "hdfs:///tmp/x"

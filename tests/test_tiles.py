@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crashgrid.operators import tiles
-from crashgrid.operators.skew import salted_join
+from crashgrid.operators.skew import sized_join
 
 
 def runs_of(contents):
@@ -71,26 +71,49 @@ def test_requests_without_id_are_missing(spark, load):
     assert bad.join(missing, "request_id", "left_anti").count() == 0
 
 
+SPLIT = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    """Adaptive execution that splits small partitions already, without reusing exchanges."""
+    before = {k: spark.conf.get(k) for k in [*SPLIT, "spark.sql.exchange.reuse"]}
+    for k, v in {**SPLIT, "spark.sql.exchange.reuse": "false"}.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, how):
-    # A third of the rows share one key, some have none.
-    key = F.expr("case when id % 3 = 0 then 1 when id % 7 = 0 then null else id % 50 end")
-    big = spark.range(3000).select("id", key.alias("k"))
-    small = spark.range(60).select((F.col("id") % 40).alias("k"), F.col("id").alias("v"))
-    want = big.join(small, "k", how)
-    got = salted_join(big, small, ["k"], how, rows_per_salt=100).select(*want.columns)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-
-
-def test_salting_both_sides(spark):
-    big = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 9).alias("k"))
-    small = spark.range(500).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 5).alias("k"), F.col("id").alias("v"))
-    want = big.join(small, "k")
-    got = salted_join(big, small, ["k"], rows_per_salt=50, both=True).select(*want.columns)
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
-    with pytest.raises(ValueError):
-        salted_join(big, small, ["k"], "left", both=True)
+def test_hot_keys_are_split(spark, splitting, how):
+    # Many equal rows share one key, as in a log without request ids; some have no key.
+    key = F.expr("case when id % 3 = 0 then 1 when id % 7 = 0 then null else id % 500 end")
+    big = spark.range(0, 30_000, 1, 20).select(F.lit("https://tile").alias("url"), key.alias("k"))
+    small = spark.range(600).select((F.col("id") % 400).alias("k"), F.col("id").alias("v"))
+    want = big.join(small, "k", how).groupBy(big.join(small, "k", how).columns).count().collect()
+    joined = sized_join(big, small, ["k"], how)
+    got = joined.groupBy(joined.columns).count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    single = sized_join(big, small, ["k"], how)
+    single.write.format("noop").mode("overwrite").save()
+    single.collect()
+    assert "skew=true" in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_any_length(spark):
+    runs = spark.createDataFrame([(7, 3_000_000_000, "a"), (1 << 40, 5, "b"), (1 << 50, 0, "c")], "tile_id bigint, run_length bigint, content string")
+    blocks = tiles.expand_blocks(runs)
+    found = blocks.groupBy("content").agg(F.sum("run_length").alias("n"), F.min("tile_id").alias("lo"), F.max(F.expr("tile_id + run_length")).alias("hi"), F.max("run_length").alias("most"))
+    assert sorted(map(tuple, found.collect())) == [("a", 3_000_000_000, 7, 3_000_000_007, 1 << 20), ("b", 5, 1 << 40, (1 << 40) + 5, 5)]
+    asked = spark.createDataFrame([(1, 7), (2, 6), (3, 3_000_000_006), (4, 3_000_000_007), (5, None), (6, 3_000_000_006)], "id int, tile_id bigint")
+    assert {r.id for r in tiles.missing_tiles(asked, runs).collect()} == {2, 4, 5}
+    assert {r.id for r in tiles.tile_lookup(asked, runs).collect()} == {1, 3, 6}
 
 
 def test_tilejson(load):
@@ -99,3 +122,4 @@ def test_tilejson(load):
     assert doc.tiles == ["https://tiles.example/{z}/{x}/{y}.mvt"]
     assert (doc.tilejson, doc.scheme, doc.minzoom, doc.maxzoom) == ("3.0.0", "xyz", 11, 11)
     assert doc.bounds[0] < doc.center[0] < doc.bounds[2]
+    assert doc.vector_layers == [] and doc.name is None
