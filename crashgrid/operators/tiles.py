@@ -224,11 +224,12 @@ def tilejson(
     if fields is None:
         joined = summary.withColumn("_layers", F.array().cast(layer))
     else:
-        # One row on either side: the registry of layers is small.
         every = fields.agg(
             F.sort_array(F.collect_list(F.struct(F.col("layer").alias("id"), "fields"))).alias("_layers")
         )
-        joined = summary.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # Two single rows become one without a join.
+        both = summary.unionByName(every, allowMissingColumns=True)
+        joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
     vector_layers = F.transform("_layers", lambda x: F.struct(x["id"].alias("id"), x["fields"].alias("fields"), F.col("minzoom").alias("minzoom"), F.col("maxzoom").alias("maxzoom")))
     return joined.select(
         F.struct(
