@@ -38,6 +38,8 @@ PARTS, MISSING = 2, 1
 SAMPLE, SPREAD, MAX_SPREAD, HOT = 64, 32, 4_096, 200
 #: A task gives out the signatures of equal sets once, as far as it remembers them.
 REMEMBERED = 200_000
+#: Words of 64 bits in a parity map.
+MAPS = 16
 
 
 @cache
@@ -206,20 +208,43 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return local.where(~spread & (F.col("least") != F.col("set"))).unionByName(met.unionByName(inside).where("least != set").distinct())
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, of_set: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` (distinct sets) that reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def _parity(elements: np.ndarray) -> list[int]:
+    """Bit map with a bit flipped by every element; two maps differ in no more bits than the sets in elements."""
+    at, n = np.unique(hashing.mixed(elements ^ np.uint64(0x5EED)) & np.uint64(64 * MAPS - 1), return_counts=True)
+    bits = np.zeros(64 * MAPS, np.uint8)
+    bits[at.astype(np.int64)] = n & 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, of_set: DataFrame, words: int) -> DataFrame:
+    """``set, n, elements`` and the parity map of the sets in ``wanted``."""
     rows = of_set.join(wanted.hint("merge"), "set")
 
     def make():
         def of(ident, text):
-            yield ident, _elements(text, words).tobytes()
+            found = _elements(text, words)
+            yield ident, len(found), found.tobytes(), *_parity(found)
 
         return of
 
     texts = docs.select("_k1", "_k2", "_text").join(rows.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["set"])
-    sets = map_rows(texts.select("set", "_text"), make, "set long, elements binary", lambda r: 64 + len(r[1]))
-    sets = materialise(sets, "ngram-sets")
+    maps = ", ".join(f"p{i} long" for i in range(MAPS))
+    return map_rows(
+        texts.select("set", "_text"), make, f"set long, n long, elements binary, {maps}", lambda r: 256 + len(r[2])
+    )
+
+
+def _possible(percent: int) -> str:
+    """Whether sizes and parity maps of ``x`` and ``y`` allow the threshold."""
+    differ = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(MAPS))
+    return (
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
+    )
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` (distinct sets) that reach the threshold."""
 
     @F.arrow_udf("boolean")
     def near(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -260,23 +285,31 @@ def join_components(
     stars = materialise(candidates(rows, words, percent), "ngram-candidates")
 
     pairs = stars.select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
-    tried = materialise(pairs, "ngram-pairs")
-    links = materialise(_linked(tried, rows, of_set, words, percent), "ngram-links")
+    inside = stars.select("sig", "set").unionByName(stars.select("sig", F.col("least").alias("set"))).distinct()
+    inside = materialise(inside, "ngram-groups")
+    sets = materialise(_sets(inside.select("set").distinct(), rows, of_set, words), "ngram-sets")
+    about = sets.drop("elements")
+    x, y = about.withColumnRenamed("set", "a").alias("x"), about.withColumnRenamed("set", "b").alias("y")
+    likely = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(_possible(percent))
+    tried = materialise(likely.select("a", "b"), "ngram-pairs")
+    links = materialise(_linked(tried, sets, percent), "ngram-links")
     found = components(links)
 
-    # Sets of one signature in different components: every pair counts.
-    inside = stars.select("sig", "set").unionByName(stars.select("sig", F.col("least").alias("set"))).distinct()
+    # Sets of one signature in different components: every pair counts that sizes and parity
+    # maps do not rule out; both are exact bounds.
     placed = inside.join(found.withColumnRenamed("node", "set").hint("merge"), "set", "left").select(
         "sig", "set", F.coalesce("root", "set").alias("root")
     )
     split = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
     apart = materialise(placed.join(split.select("sig"), "sig"), "ngram-apart")
-    other = apart.select("sig", F.col("set").alias("b"), F.col("root").alias("_root"))
-    more = apart.withColumnRenamed("set", "a").join(other.hint("merge"), "sig").where("a < b and root != _root")
+    known = apart.join(about.hint("merge"), "set")
+    condition = F.expr(f"x.sig = y.sig and x.set < y.set and x.root != y.root and {_possible(percent)}")
+    more = known.alias("x").join(known.alias("y").hint("merge"), condition)
+    more = more.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
     more = more.select("a", "b").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = materialise(more, "ngram-pairs")
     if not more.isEmpty():
-        extra = _linked(more, rows, of_set, words, percent)
+        extra = _linked(more, sets, percent)
         joined = materialise(links.unionByName(extra), "ngram-links")
         found = components(joined)
 
