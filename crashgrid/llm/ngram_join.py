@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashgrid.llm import hashing
@@ -38,6 +38,8 @@ PARTS, MISSING = 2, 1
 SAMPLE, SPREAD, MAX_SPREAD, HOT = 64, 32, 4_096, 200
 #: A task gives out the signatures of equal sets once, as far as it remembers them.
 REMEMBERED = 200_000
+#: Orders in which neighbours under one signature are compared before all pairs are.
+CHAINS = 2
 #: Words of 64 bits in a parity map.
 MAPS = 16
 
@@ -243,6 +245,18 @@ def _possible(percent: int) -> str:
     )
 
 
+def _likely(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that sizes and parity maps do not rule out."""
+    x, y = about.withColumnRenamed("set", "a").alias("x"), about.withColumnRenamed("set", "b").alias("y")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(_possible(percent)).select("a", "b")
+
+
+def _placed(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """``sig, set, root`` with the component of each set so far."""
+    roots = found.withColumnRenamed("node", "set")
+    return inside.join(roots.hint("merge"), "set", "left").select("sig", "set", F.coalesce("root", "set").alias("root"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``a, b`` of ``pairs`` (distinct sets) that reach the threshold."""
 
@@ -289,17 +303,29 @@ def join_components(
     inside = materialise(inside, "ngram-groups")
     sets = materialise(_sets(inside.select("set").distinct(), rows, of_set, words), "ngram-sets")
     about = sets.drop("elements")
-    x, y = about.withColumnRenamed("set", "a").alias("x"), about.withColumnRenamed("set", "b").alias("y")
-    likely = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(_possible(percent))
-    tried = materialise(likely.select("a", "b"), "ngram-pairs")
+    tried = materialise(_likely(pairs, about, percent), "ngram-pairs")
     links = materialise(_linked(tried, sets, percent), "ngram-links")
     found = components(links)
 
+    # Neighbours in a few orders of each signature's sets join most of what is left apart;
+    # this needs no more pairs than there are sets.
+    for turn in range(CHAINS):
+        placed = _placed(inside, found)
+        order = Window.partitionBy("sig").orderBy(F.xxhash64("set", F.lit(turn)), "set")
+        chain = placed.select(
+            F.col("set").alias("b"), F.col("root").alias("_r"), F.lag("set").over(order).alias("a"), F.lag("root").over(order).alias("_q")
+        ).where("_q != _r")
+        near = chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = materialise(_likely(near, about, percent).join(tried.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
+        if near.isEmpty():
+            break
+        tried = materialise(tried.unionByName(near), "ngram-pairs")
+        links = materialise(links.unionByName(_linked(near, sets, percent)), "ngram-links")
+        found = components(links)
+
     # Sets of one signature in different components: every pair counts that sizes and parity
     # maps do not rule out; both are exact bounds.
-    placed = inside.join(found.withColumnRenamed("node", "set").hint("merge"), "set", "left").select(
-        "sig", "set", F.coalesce("root", "set").alias("root")
-    )
+    placed = _placed(inside, found)
     split = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
     apart = materialise(placed.join(split.select("sig"), "sig"), "ngram-apart")
     known = apart.join(about.hint("merge"), "set")
