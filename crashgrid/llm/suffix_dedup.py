@@ -213,7 +213,8 @@ def repeats(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``_k1, _k2, ranges``: byte ranges of ``_text`` to remove, for rows with any."""
     single = materialise(_segment_rows(rows), "segments")
     of_key = single.groupBy("key").agg(F.count("*").alias("_n"), F.min("digest").alias("_low"), F.max("digest").alias("_high"))
-    shared = of_key.where("_n > 1").select("key", (F.col("_low") != F.col("_high")).alias("mixed"))
+    # Written, so that both sides of the join are plain exchanges and a hot key can be split.
+    shared = materialise(of_key.where("_n > 1").select("key", (F.col("_low") != F.col("_high")).alias("mixed")), "shared-keys")
     active = materialise(single.join(shared.hint("merge"), "key"), "shared-segments")
 
     mixed = active.where("mixed")
