@@ -27,7 +27,11 @@ from crashgrid.llm.hashing import mixed
 from crashgrid.llm.texts import BATCH_BYTES, read, text_column
 
 CELLS, PARTS = 24, 3
+#: Least digests of two sets from which the number of differences is estimated.
+ESTIMATE = 32
 WORDS_PER_BLOCK = 16
+_SEEDS = np.array([[i * 0x632BE59BD9B4E019 & (1 << 64) - 1] for i in range(PARTS)], np.uint64)
+_CHECK = np.uint64(77)
 
 
 def paragraphs(text: str) -> list[str]:
@@ -65,16 +69,17 @@ class Table:
             self.add(keys, np.ones(len(keys), np.int64))
 
     def places(self, keys: np.ndarray) -> np.ndarray:
+        """Cells of each key, one part after the other."""
         size = self.cells // PARTS
-        return np.concatenate(
-            [(mixed(keys + np.uint64(i * 0x632BE59BD9B4E019 & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64) + i * size for i in range(PARTS)]
-        )
+        found = mixed(keys[None, :] + _SEEDS) % np.uint64(size)
+        return (found.astype(np.int64) + np.arange(PARTS)[:, None] * size).ravel()
 
-    def add(self, keys: np.ndarray, count: np.ndarray) -> None:
-        at = self.places(keys)
-        self.count += np.bincount(at, np.tile(count, PARTS), self.cells).astype(np.int64)
-        np.bitwise_xor.at(self.keys, at, np.tile(keys, PARTS))
-        np.bitwise_xor.at(self.checks, at, np.tile(mixed(keys ^ np.uint64(77)), PARTS))
+    def add(self, keys: np.ndarray, count: np.ndarray, at: np.ndarray | None = None) -> None:
+        at = self.places(keys) if at is None else at
+        three = np.concatenate([keys] * PARTS)
+        self.count += np.bincount(at, np.concatenate([count] * PARTS), self.cells).astype(np.int64)
+        np.bitwise_xor.at(self.keys, at, three)
+        np.bitwise_xor.at(self.checks, at, mixed(three ^ _CHECK))
 
     def minus(self, other: Table) -> Table:
         out = Table(self.cells)
@@ -85,18 +90,19 @@ class Table:
         """Digests with count 1 and with count -1, or None if some cannot be recovered."""
         plus, minus = [], []
         for _ in range(self.cells + 1):
-            single = np.flatnonzero((np.abs(self.count) == 1) & (self.checks == mixed(self.keys ^ np.uint64(77))))
+            single = np.flatnonzero(np.abs(self.count) == 1)
+            single = single[self.checks[single] == mixed(self.keys[single] ^ _CHECK)]
             if not len(single):
                 break
             keys, first = np.unique(self.keys[single], return_index=True)
-            signs = self.count[single][first]
+            single = single[first]
+            signs, at = self.count[single], self.places(keys)
             # A digest must lie in the cell it was found in.
-            own = (self.places(keys).reshape(PARTS, -1) == single[first]).any(axis=0)
-            if not own.all():
+            if not (at.reshape(PARTS, -1) == single).any(axis=0).all():
                 return None
             plus.append(keys[signs == 1])
             minus.append(keys[signs == -1])
-            self.add(keys, -signs)
+            self.add(keys, -signs, at)
         if self.count.any() or self.keys.any() or self.checks.any():
             return None
         none = np.zeros(0, np.uint64)
@@ -107,10 +113,24 @@ class Table:
         return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode()
 
 
+def expected_differences(one: np.ndarray, other: np.ndarray) -> float:
+    """Estimate from the least digests of both (sorted) sets."""
+    first, second = set(one[:ESTIMATE].tolist()), set(other[:ESTIMATE].tolist())
+    least = sorted(first | second)[:ESTIMATE]
+    if not least:
+        return 0.0
+    share = sum(x in first and x in second for x in least) / len(least)
+    return (1 - share) / (1 + share) * (len(one) + len(other))
+
+
 def difference(one: np.ndarray, other: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``one`` and only in ``other``, from tables of growing size."""
-    while cells < abs(len(one) - len(other)):
-        cells *= 2  # fewer cells cannot hold the difference
+    """Digests only in ``one`` and only in ``other``, from tables of growing size.
+
+    The first tables have room for the expected differences.
+    """
+    room = max(2 * expected_differences(one, other), abs(len(one) - len(other)))
+    while cells < room:
+        cells *= 2
     while True:
         found = Table(cells, one).minus(Table(cells, other)).peel()
         if found is not None:
