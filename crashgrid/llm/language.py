@@ -63,17 +63,18 @@ class Model:
         kernel = present.astype(np.float32) @ self.landmarks / np.sqrt(count)[:, None]
         return kernel @ self.weights
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score (0 to 1) of each text."""
-        names, values = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score (0 to 1) and one-versus-rest value (about -1 to 1) of each text."""
+        names, values, raw = [UNKNOWN] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         if known:
-            score = self.scores(np.array([presence(texts[i]) for i in known])).astype(float) * SHARPNESS
+            one = self.scores(np.array([presence(texts[i]) for i in known])).astype(float)
+            score = one * SHARPNESS
             share = np.exp(score - score.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
-            for i, best, row in zip(known, share.argmax(axis=1), share, strict=True):
-                names[i], values[i] = self.languages[best], float(row[best])
-        return names, values
+            for i, best, row, own in zip(known, share.argmax(axis=1), share, one, strict=True):
+                names[i], values[i], raw[i] = self.languages[best], float(row[best]), float(own[best])
+        return names, values, raw
 
 
 def fit(landmarks: np.ndarray, features: np.ndarray, labels: list[str]) -> Model:
@@ -124,23 +125,44 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(landmarks, kernel, labels)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "score", raw_name: str | None = None
+) -> DataFrame:
     """``docs`` with the predicted language and its score; the text is the only input.
 
-    A text that is null or has no letter gets ``und`` and 0.
+    A text that is null or has no letter gets ``und`` and 0. ``raw_name`` adds the
+    one-versus-rest value, which doesn't depend on the other languages (-1 for ``und``).
     """
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,raw:double>")
     def predicted(texts: pa.Array) -> pa.Array:
-        names, values = [], []
+        names, values, raw = [], [], []
         for first in range(0, len(texts), BATCH):
             some = model.predict(texts.slice(first, BATCH).to_pylist())
             names += some[0]
             values += some[1]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["lang", "score"])
+            raw += some[2]
+        return pa.StructArray.from_arrays(
+            [pa.array(names, pa.string()), pa.array(values, pa.float64()), pa.array(raw, pa.float64())], ["lang", "score", "raw"]
+        )
 
     kept = [F.col(f"`{c}`") for c in docs.columns]
     both = docs.select(F.struct(*kept).alias("_row"), predicted(F.col(text)).alias("_found"))
-    return both.select("_row.*", F.col("_found.lang").alias(lang_name), F.col("_found.score").alias(score_name))
+    found = [("lang", lang_name), ("score", score_name), *([("raw", raw_name)] if raw_name else [])]
+    return both.select("_row.*", *[F.col(f"_found.{c}").alias(name) for c, name in found])
+
+
+def least_raw(docs: DataFrame, quantile: float, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The one-versus-rest value that all but ``quantile`` of the labelled rows reach whose fold a model did not see.
+
+    Rows without a letter, and in languages that only this fold has, are left out. Where
+    the rows are too few to have that quantile, it is 0, where a language is as likely as not.
+    """
+    held = in_fold(doc_id, 5, 0)
+    model = train(docs.where(~held), doc_id, text, lang)
+    unseen = docs.where(held & F.col(lang).isin(model.languages)).select(F.col(text).alias("text"))
+    found = identify(unseen, model, raw_name="raw").where(F.col("lang_pred") != UNKNOWN)
+    row = found.agg(F.count("*").alias("n"), F.percentile_approx("raw", quantile, 100_000).alias("least")).first()
+    return row.least if row.n * quantile >= 1 else 0.0
 
 
 def in_fold(doc_id: str, folds: int, fold: int) -> Column:
