@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, fingerprint, language, lm_scoring, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
+from crashgrid.llm import bpe, fingerprint, language, lexical_search, lm_scoring, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_string_kernel": language.op10_string_kernel,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+}
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE}
