@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, fingerprint, language, lexical_search, lm_scoring, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup
+from crashgrid.llm import bpe, fingerprint, language, lexical_search, lm_scoring, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup, whitening
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_string_kernel": language.op10_string_kernel,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
