@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crashgrid.llm import bpe, fingerprint, language, lexical_search, lm_scoring, ngram_join, packing, prefix_counts, quality, secret_scan, suffix_dedup, whitening
+from crashgrid.llm import bpe, fingerprint, language, lexical_search, lm_scoring, ngram_join, packing, phrase_index, prefix_counts, quality, secret_scan, suffix_dedup, whitening
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,8 +17,10 @@ QUERIES = {
     "op10_string_kernel": language.op10_string_kernel,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_phrase_decontamination": phrase_index.op13_phrase_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
     "op11_lexical_search": lexical_search.ORACLE,
+    "op13_phrase_decontamination": phrase_index.ORACLE,
 }
