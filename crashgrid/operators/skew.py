@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -14,3 +15,15 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     others), whatever the rows look like and without counting keys first.
     """
     return left.join(right.hint("merge"), keys, how)
+
+
+def dealt_anew(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with key columns that Spark takes for new ones.
+
+    The result of an aggregate, window or join on the keys is already dealt by them. A join
+    on the same keys would use it as it is, without an exchange on that side, and adaptive
+    execution splits hot keys only where both sides have one. The one-element explode
+    hides where the keys come from, at the price of one more exchange of this side.
+    """
+    hidden = df.withColumn("_keys", F.explode(F.array(F.struct(*keys))))
+    return hidden.select(*[F.col(f"_keys.{c}").alias(c) if c in keys else F.col(c) for c in df.columns])
