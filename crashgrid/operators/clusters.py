@@ -11,6 +11,7 @@ from crashgrid.functions.sizing import cluster_radius
 
 CELL_BITS = 3
 DEGREE_UNITS = 10_000_000
+SCHEMA = "zoom int, cx bigint, cy bigint, lon double, lat double, point_count bigint"
 
 
 def _units(degrees: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crashgrid import model
-from crashgrid.operators import clusters, grid, sessions, viewport
+from crashgrid.operators import clusters, sessions, tree, viewport
 from crashgrid.operators.filters import accident_filter, min_query_length
 
 
@@ -115,10 +115,10 @@ def selection_table(spark: SparkSession, path: str) -> DataFrame:
 def store_view_index(
     accidents: DataFrame, path: str, state: model.FilterState | None = None
 ) -> None:
-    """Store what ``view_count_stream`` reads: the clusters and the filtered point grid."""
+    """Store what ``view_count_stream`` reads: the clusters and the tree of filtered points."""
     kept = accidents if state is None else accident_filter(accidents, state)
     clusters.cluster_pyramid(accidents).write.mode("overwrite").parquet(f"{path}/clusters")
-    grid.write_grid(kept, f"{path}/grid")
+    tree.write_tree(kept.select("OBJECTID", "lon", "lat"), f"{path}/tree")
 
 
 def view_count_stream(
@@ -126,16 +126,16 @@ def view_count_stream(
 ) -> StreamingQuery:
     """Count the accidents of every view change, batch by batch, into ``path``.
 
-    ``index`` is the folder of ``store_view_index``. A batch reads only the zones of
-    the grid that its views touch, never the accidents themselves.
+    ``index`` is the folder of ``store_view_index``. A batch opens only the folders of the
+    tree that its views touch, and of them the leaves on the outline of a window.
     """
 
     def count(batch: DataFrame) -> DataFrame:
         spark = batch.sparkSession
         near = viewport.with_bounds(batch).where(F.col("zoom") >= model.CLUSTER_ZOOM_LIMIT)
-        zones = grid.zones_of(viewport.boxes_of(near))
-        stored = grid.read_grid(spark, f"{index}/grid", zones)
-        pyramid = spark.read.parquet(f"{index}/clusters")
+        parts = tree.parts_of(spark, f"{index}/tree", near)
+        stored = tree.read_tree(spark, f"{index}/tree", tree.POINT, parts)
+        pyramid = spark.read.schema(clusters.SCHEMA).parquet(f"{index}/clusters")
         return viewport.view_counts(batch, pyramid=pyramid, index=stored)
 
     return update_into(views, path, checkpoint, count, trigger, reread=True)
