@@ -52,3 +52,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever file system it is on; it may be missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared storage, none if it is missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [found.getPath().getName() for found in system.listStatus(folder)] if system.exists(folder) else []
