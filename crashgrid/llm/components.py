@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crashgrid.sources.storage import materialise
+from crashgrid.sources.storage import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         small = large.join(_least(large), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = materialise(small.where("u != v").distinct(), "edges")
+        before, now = now, materialise(small.where("u != v").distinct(), "edges")
+        discard(before)
         children = now.groupBy("u").agg(F.count("*").alias("n"))
         open_ends = children.where("n > 1").select("u").limit(1)
         middle = now.select(F.col("v").alias("u")).distinct().join(children.select("u"), "u", "left_semi").limit(1)

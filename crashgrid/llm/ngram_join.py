@@ -7,8 +7,9 @@ parts, each of which has PARTS second-level parts. With more than k / (MISSING +
 first-level parts, similar sets differ in at most MISSING elements of one of them, so they
 agree on some choice of all but MISSING of its second-level parts. Each choice is hashed to
 a signature. Choices without elements carry no information: spare first-level parts make up
-for a few of them, and sets with more empty ones also give out their rarest-first prefix as
-signatures, of which two similar sets share one.
+for them, as many as a set of the band is expected to leave empty, plus two deviations. A set
+with still more empty ones also gives out the least hashes of its elements (a prefix in
+hash order) as signatures, of which two similar sets share one.
 
 Sets are told apart by 64-bit hashes, so copies count once. Sets that share a signature are
 first compared with the least of them. Where that leaves them in different components, all
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from crashgrid.llm import hashing
 from crashgrid.llm.components import components
 from crashgrid.llm.texts import map_rows, read, text_column
-from crashgrid.sources.storage import materialise
+from crashgrid.operators.skew import dealt_anew
+from crashgrid.sources.storage import discard, materialise
 
 WORDS, PERCENT = 4, 85
 PARTS, MISSING = 2, 1
@@ -44,6 +47,25 @@ CHAINS = 2
 MAPS = 16
 
 
+#: Spare first-level parts are at most this share of the needed ones.
+MOST_SPARE = 0.5
+
+
+@cache
+def spare_parts(needed: int, size: int, parts: int, missing: int) -> int:
+    """First-level parts to add so that sets of ``size`` elements rarely leave more than these incomplete."""
+    choices, width = comb(parts, missing), parts - missing
+    spare = 0
+    while spare < MOST_SPARE * needed:
+        total = needed + spare
+        empty = exp(-size / (total * parts)) ** width
+        mean = total * (1 - (1 - empty) ** choices)
+        if spare >= mean + 2 * mean**0.5:
+            break
+        spare += 1
+    return spare
+
+
 @cache
 def bands(percent: int, largest: int) -> tuple[tuple[int, int], ...]:
     """(largest size, k) of every band up to a size."""
@@ -79,7 +101,8 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, parts: int = PARTS,
         if not k:  # only equal sets are similar
             continue
         first = k // (missing + 1) + 1
-        spare = 0 if k < 6 else 2 + first // 50
+        # Every set that uses this band has more elements than the band before allows.
+        spare = 0 if k < 6 else spare_parts(first, table[b - 1][0] + 1 if b else 1, parts, missing)
         first += spare
         salted = hashing.mixed(elements ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         part = (salted % np.uint64(first * parts)).astype(np.int64)
@@ -193,14 +216,18 @@ def _hot(docs: DataFrame, words: int, percent: int) -> list[int]:
     return [r.sig for r in rows]
 
 
-def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``sig, least, set``: sets that share a signature, each with the least of them."""
+def candidates(docs: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """``sig, least, set``: sets that share a signature, each with the least of them.
+
+    Tables written for it are added to ``scratch``.
+    """
     rows = _signature_rows(docs, words, percent)
     hot = _hot(docs, words, percent)
     if not hot:
         return _stars(rows, ["sig"])
     salt = F.when(F.col("sig").isin(hot), F.pmod(F.col("set"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("long")
     local = materialise(_stars(rows.withColumn("salt", salt), ["sig", "salt"]), "signature-stars")
+    scratch.append(local)
     # The least sets of the spread groups meet again; other groups are complete.
     spread = F.col("sig").isin(hot)
     leaders = local.where(spread).select("sig", F.col("least").alias("set")).distinct()
@@ -296,7 +323,9 @@ def join_components(
     held = materialise(members(rows, words), "ngram-members")
     of_set = held.where("n > 0").groupBy("set").agg(F.min(F.struct("_k1", "_k2")).alias("_first"))
     of_set = of_set.select("set", "_first._k1", "_first._k2")
-    stars = materialise(candidates(rows, words, percent), "ngram-candidates")
+    scratch: list[DataFrame] = []
+    stars = materialise(candidates(rows, words, percent, scratch), "ngram-candidates")
+    discard(*scratch)
 
     pairs = stars.select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
     inside = stars.select("sig", "set").unionByName(stars.select("sig", F.col("least").alias("set"))).distinct()
@@ -304,6 +333,7 @@ def join_components(
     sets = materialise(_sets(inside.select("set").distinct(), rows, of_set, words), "ngram-sets")
     about = sets.drop("elements")
     tried = materialise(_likely(pairs, about, percent), "ngram-pairs")
+    discard(stars)
     links = materialise(_linked(tried, sets, percent), "ngram-links")
     found = components(links)
 
@@ -319,8 +349,10 @@ def join_components(
         near = materialise(_likely(near, about, percent).join(tried.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
         if near.isEmpty():
             break
-        tried = materialise(tried.unionByName(near), "ngram-pairs")
-        links = materialise(links.unionByName(_linked(near, sets, percent)), "ngram-links")
+        both = materialise(tried.unionByName(near), "ngram-pairs")
+        longer = materialise(links.unionByName(_linked(near, sets, percent)), "ngram-links")
+        discard(tried, near, links)
+        tried, links = both, longer
         found = components(links)
 
     # Sets of one signature in different components: every pair counts that sizes and parity
@@ -328,21 +360,26 @@ def join_components(
     placed = _placed(inside, found)
     split = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
     apart = materialise(placed.join(split.select("sig"), "sig"), "ngram-apart")
+    discard(inside)
     known = apart.join(about.hint("merge"), "set")
     condition = F.expr(f"x.sig = y.sig and x.set < y.set and x.root != y.root and {_possible(percent)}")
     more = known.alias("x").join(known.alias("y").hint("merge"), condition)
     more = more.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
     more = more.select("a", "b").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = materialise(more, "ngram-pairs")
+    discard(apart, tried)
     if not more.isEmpty():
         extra = _linked(more, sets, percent)
         joined = materialise(links.unionByName(extra), "ngram-links")
         found = components(joined)
+        discard(joined)
+    discard(more, links, sets)
 
     rooted = held.join(found.withColumnRenamed("node", "set").hint("merge"), "set", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("_id").alias("_least"))
-    out = rooted.join(least.hint("merge"), "root", "left")
+    # An exchange on both sides, so that the rows of a large component are split over tasks.
+    out = rooted.join(dealt_anew(least, ["root"]).hint("merge"), "root", "left")
     component = F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("component"), "_k1", "_k2")
 

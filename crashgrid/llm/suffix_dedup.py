@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from crashgrid.llm.suffix_array import suffix_array
 from crashgrid.llm.texts import map_rows, read, text_column
-from crashgrid.sources.storage import materialise
+from crashgrid.sources.storage import discard, materialise
 
 SPAN, GRAM = 200, 64
 #: Texts are hashed in blocks of this many bytes (places take 20 bits).
 BLOCK = (1 << 20) - SPAN
 GROUP_BYTES = 1 << 20
+#: Bytes of segments that one task sorts, as long as these are not too many tasks.
+TASK_BYTES, MOST_TASKS = 2 << 20, 100_000
 
 _PLACE_BITS = np.uint64(20)
 _BASE = 0x9E3779B97F4A7C15
@@ -114,7 +116,29 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
-    """Per string the starts of windows that also start elsewhere in the strings."""
+    """Per string the starts of windows that also start elsewhere in the strings.
+
+    Only stretches whose windows have a hash that occurs twice are sorted: equal windows have
+    equal hashes. Whether windows are equal is decided on their bytes.
+    """
+    hashes = [_Hashes(np.frombuffer(s, np.uint8)).all_of(SPAN) for s in strings]
+    _, which, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    twice = np.split(counts[which] > 1, np.cumsum([len(h) for h in hashes])[:-1])
+    pieces, places = [], []
+    for i, flags in enumerate(twice):
+        edges = np.flatnonzero(np.diff(np.r_[False, flags, False])).tolist()
+        for low, high in zip(edges[::2], edges[1::2], strict=True):
+            pieces.append(strings[i][low : high - 1 + SPAN])
+            places.append((i, low))
+    found: list[list[np.ndarray]] = [[] for _ in strings]
+    if pieces:
+        for (i, low), starts in zip(places, _sorted_repeats(pieces), strict=True):
+            found[i].append(starts + low)
+    return [np.concatenate(f) if f else np.zeros(0, np.int64) for f in found]
+
+
+def _sorted_repeats(strings: list[bytes]) -> list[np.ndarray]:
+    """``repeated_windows`` by the suffix array of all strings."""
     sizes = [len(s) for s in strings]
     first = np.cumsum([0, *[s + 1 for s in sizes]])
     joined = b"".join(s + b"\0" for s in strings)
@@ -173,7 +197,10 @@ def _by_suffix_array(strings: DataFrame) -> DataFrame:
         if group:
             yield close()
 
-    dealt = strings.select("key", "digest", "body").repartition("key").sortWithinPartitions("key", "digest")
+    # Sorting costs time by the byte: tasks of this size are not merged into fewer.
+    n_bytes = strings.agg(F.sum(F.length("body")).alias("n")).first().n or 0
+    tasks = min(max(n_bytes // TASK_BYTES, 1) + 7, MOST_TASKS)
+    dealt = strings.select("key", "digest", "body").repartition(tasks, "key").sortWithinPartitions("key", "digest")
     return dealt.mapInArrow(run, f"key long, digest long, found {_RANGES}")
 
 
@@ -216,6 +243,7 @@ def repeats(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     # Written, so that both sides of the join are plain exchanges and a hot key can be split.
     shared = materialise(of_key.where("_n > 1").select("key", (F.col("_low") != F.col("_high")).alias("mixed")), "shared-keys")
     active = materialise(single.join(shared.hint("merge"), "key"), "shared-segments")
+    discard(single, shared)
 
     mixed = active.where("mixed")
     kinds = mixed.groupBy("key", "digest").agg(
@@ -246,7 +274,9 @@ def repeats(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("n") - 1 + SPAN).cast("long").alias("high")))
     often = kinds.select("key", "digest", (F.col("copies") > 1).alias("often"))
-    verdict = often.join(found.hint("merge"), ["key", "digest"], "left")
+    # Written for the same reason: a hot (key, digest) must not stay in one task.
+    verdict = materialise(often.join(found.hint("merge"), ["key", "digest"], "left"), "segment-verdicts")
+    discard(strings)
     placed = mixed.join(verdict.hint("merge"), ["key", "digest"]).select(
         "_k1", "_k2", "at", F.when(F.col("often"), whole).otherwise(F.col("found")).alias("found")
     )
