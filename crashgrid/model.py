@@ -226,6 +226,8 @@ LAYERS = [
 SOURCE_MAXZOOM = {"mapillary-images": 14.99}
 COARSE_LAYER = "clusters_6_8"
 FINE_LAYER = "clusters_9_11"
+# (source, zoom whose tiles hold its points)
+POINT_BANDS = [("accidents_11-12", 11), ("accidents_12-13", 12)]
 
 # --- Derived from the above ----------------------------------------------------
 

@@ -23,7 +23,8 @@ def _units(degrees: str) -> Column:
     return F.round(F.col(degrees) * DEGREE_UNITS).cast("bigint")
 
 
-def _base(df: DataFrame, level: int) -> DataFrame:
+def cell_sums(df: DataFrame, level: int) -> DataFrame:
+    """Points per cell of a level as whole-number sums: (cx, cy, n, slon, slat)."""
     located = df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     cell = [geo.tile_x(F.col("lon"), level).alias("cx"), geo.tile_y(F.col("lat"), level).alias("cy")]
     return (
@@ -46,7 +47,7 @@ def _points(cells: DataFrame) -> DataFrame:
 
 def cluster_points(df: DataFrame, zoom: int, cell_bits: int = CELL_BITS) -> DataFrame:
     """Clusters of one zoom: (zoom, cx, cy, lon, lat, point_count), centred on the mean."""
-    return _points(_base(df, zoom + cell_bits).withColumn("zoom", F.lit(zoom)))
+    return _points(cell_sums(df, zoom + cell_bits).withColumn("zoom", F.lit(zoom)))
 
 
 def cluster_pyramid(
@@ -58,7 +59,11 @@ def cluster_pyramid(
     cells, whose number does not grow with the points.
     """
     finest = max(zooms)
-    base = _base(df, finest + cell_bits)
+    return roll_up(cell_sums(df, finest + cell_bits), finest, zooms)
+
+
+def roll_up(base: DataFrame, finest: int, zooms: range) -> DataFrame:
+    """Clusters of several zooms from the ``cell_sums`` of the zoom ``finest``."""
     ancestors = [
         F.struct(
             F.lit(z).alias("zoom"),

@@ -13,7 +13,7 @@ from crashgrid.operators.filters import accident_boxes, accident_filter, boxes_m
 from crashgrid.operators.pick import pick as pick_accidents
 from crashgrid.plans.registry import query
 from crashgrid.plans.sqltext import CENTRE, PYRAMID, VIEW_BOUNDS, WINDOW_COUNTS, bounds, tile_x, tile_y
-from crashgrid.sources import pyramid, scans, storage
+from crashgrid.sources import increments, pyramid, scans, storage
 
 
 def _sql_radius(n: str, stops: list[tuple[int, int]]) -> str:
@@ -349,3 +349,73 @@ def layer_store(load):
     )
     totals = counts.groupBy("layer", "zoom", "tile_id").agg(F.sum("n").alias("n"))
     return curve.with_tile_zxy(totals).select("layer", "zoom", "x", "y", "n")
+
+
+LAST_YEAR = 2023
+
+
+def _grown_store(load):
+    """A store of all years but the last one, to which that year is added."""
+    accidents = load("accidents")
+    path = storage.new_path(accidents.sparkSession, "grown")
+    is_last = F.coalesce(F.col("UJAHR") == LAST_YEAR, F.lit(False))
+    increments.add(accidents.where(~is_last), path)
+    increments.add(accidents.where(is_last), path)
+    return accidents.sparkSession, path
+
+
+@query(
+    "pyramid_increment",
+    "accidents",
+    ctes=(PYRAMID,),
+    sql="select zoom, cx, cy, lon, lat, point_count from pyramid",
+)
+def pyramid_increment(load):
+    """Clusters after a year was added equal those built from all years at once."""
+    spark, path = _grown_store(load)
+    return increments.read_clusters(spark, path)
+
+
+@query(
+    "layer_bands",
+    "accidents",
+    ctes=(PYRAMID,),
+    sql=f"""select 'accidents_11-12' as layer, 11 as zoom, x, y, count(*) as n from
+  (select {tile_x('lon', '2048')} as x, {tile_y('lat', '2048')} as y from accidents) group by x, y
+union all
+select 'accidents_12-13', 12, x, y, count(*) from
+  (select {tile_x('lon', '4096')} as x, {tile_y('lat', '4096')} as y from accidents) group by x, y
+union all
+select case when zoom<9 then 'clusters_6_8' else 'clusters_9_11' end, zoom,
+  {tile_x('lon', 'power(2e0,zoom)')} as x, {tile_y('lat', 'power(2e0,zoom)')} as y,
+  cast(sum(point_count) as bigint) from pyramid group by all""",
+)
+def layer_bands(load):
+    """What each tile of the four layers holds, both point bands and both cluster layers."""
+    spark, path = _grown_store(load)
+    bands = [increments.read_points(spark, path, name) for name, _ in model.POINT_BANDS]
+    points = [b.groupBy("layer", "zoom", "tile_id").agg(F.count("*").alias("n")) for b in bands]
+    clusters = increments.read_clusters(spark, path).withColumns(
+        {
+            "layer": cl.cluster_layer(F.col("zoom")),
+            "x": geo.tile_x(F.col("lon"), F.col("zoom")),
+            "y": geo.tile_y(F.col("lat"), F.col("zoom")),
+        }
+    )
+    per_tile = clusters.groupBy("layer", "zoom", "x", "y").agg(F.sum("point_count").alias("n"))
+    placed = curve.with_tile_zxy(layers.union_layers(*points)).select("layer", "zoom", "x", "y", "n")
+    return layers.union_layers(placed, per_tile)
+
+
+@query(
+    "layer_order",
+    "accidents",
+    sql="""select layer, cast(case when UJAHR=2023 then 1 else 0 end as int) as version, count(*) as "rows",
+  cast(0 as bigint) as inversions, cast(0 as bigint) as overlaps
+from accidents, (values ('accidents_11-12'), ('accidents_12-13')) as b(layer) group by all""",
+)
+def layer_order(load):
+    """Stored points are sorted by tile id, within files and from file to file."""
+    spark, path = _grown_store(load)
+    bands = [increments.read_points(spark, path, name) for name, _ in model.POINT_BANDS]
+    return layers.union_layers(*[increments.order_of(band) for band in bands])
