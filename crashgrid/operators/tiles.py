@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +10,10 @@ from pyspark.sql import functions as F
 from crashgrid import model
 from crashgrid.functions import curve, geo
 from crashgrid.operators.filters import in_archive_zoom
-from crashgrid.operators.skew import sized_join
+from crashgrid.operators.skew import dealt_anew, sized_join
 
-BLOCK_BITS = 6
-#: Runs are cut into blocks of up to 64^(TIERS - 1) ids, whatever their length.
-TIERS = 5
+#: Ids and runs are searched in buckets of 2^18 ids; tile ids have up to 53 bits.
+LOOK_BITS, ID_BITS = 18, 53
 #: Runs are expanded by way of blocks of these many ids, so no row holds a long array.
 EXPAND_BITS = (40, 20)
 COMPACT_BITS = (18, 36, 53)
@@ -28,54 +26,48 @@ def parse_requests(requests: DataFrame, url: str = "url") -> DataFrame:
     return curve.with_tile_id(cols)
 
 
-def _run_blocks(entries: DataFrame, tiers: int) -> DataFrame:
-    """Runs cut into aligned blocks of 64^tier ids: (entry columns, tier, block).
+def _covering(asked: DataFrame, runs: DataFrame, level: int = 0) -> DataFrame:
+    """``id, run`` for the distinct ids in ``asked`` that lie in a run (first, stop, run).
 
-    A run of any length gives at most 126 blocks per tier.
+    Ids and runs are dealt by bucket of 2^18 ids, where a running last value finds the
+    latest run that began at or before an id. A run that reaches into later buckets covers
+    their first ids: as a run of bucket numbers it is carried there by the same search
+    one level up, over the buckets asked for. A bucket never has more than 2^19 rows.
     """
-    start, end = F.col("tile_id"), F.col("tile_id") + F.col("run_length")
-
-    def lo(t: int) -> Column:
-        size = 1 << (BLOCK_BITS * t)
-        return F.shiftright(start + (size - 1), BLOCK_BITS * t)
-
-    def hi(t: int) -> Column:
-        return F.shiftright(end, BLOCK_BITS * t)
-
-    def ids(first: Column, stop: Column) -> Column:
-        empty = F.array().cast("array<bigint>")
-        return F.when(first < stop, F.sequence(first, stop - 1)).otherwise(empty)
-
-    def tagged(t: int) -> Callable[[Column], Column]:
-        return lambda block: F.struct(F.lit(t).alias("tier"), block.alias("block"))
-
-    pieces = []
-    for t in range(tiers):
-        blocks = ids(lo(t), hi(t))
-        if t + 1 < tiers:
-            up_lo, up_hi = F.shiftleft(lo(t + 1), BLOCK_BITS), F.shiftleft(hi(t + 1), BLOCK_BITS)
-            around = F.concat(ids(lo(t), up_lo), ids(up_hi, hi(t)))
-            blocks = F.when(up_lo < up_hi, around).otherwise(blocks)
-        pieces.append(F.transform(blocks, tagged(t)))
-    cut = F.explode(F.concat(*pieces) if len(pieces) > 1 else pieces[0])
-    data = entries.where(F.col("run_length") > 0)
-    return data.withColumn("_c", cut).select(*entries.columns, "_c.*")
+    bucket = F.shiftright("at", LOOK_BITS).alias("bucket")
+    begin = F.struct(F.col("stop"), F.col("run"))
+    starts = runs.select(F.col("first").alias("at"), F.lit(0).alias("kind"), begin.alias("begin"))
+    ids = asked.select(F.col("id").alias("at"), F.lit(1).alias("kind"), F.when(F.lit(False), F.lit(None)).cast(starts.schema["begin"].dataType).alias("begin"))
+    both = starts.unionByName(ids).select("*", bucket)
+    so_far = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = both.withColumn("last", F.last("begin", ignorenulls=True).over(so_far)).where("kind = 1")
+    placed = latest.select(F.col("at").alias("id"), "bucket", F.when(F.col("last.stop") > F.col("at"), F.col("last.run")).alias("run"))
+    if (level + 1) * LOOK_BITS >= ID_BITS:
+        return placed.where("run is not null").select("id", "run")
+    first, last = F.shiftright("first", LOOK_BITS), F.shiftright(F.col("stop") - 1, LOOK_BITS)
+    crossing = runs.where(first < last).select((first + 1).alias("first"), (last + 1).alias("stop"), begin.alias("run"))
+    buckets = asked.select(F.shiftright("id", LOOK_BITS).alias("id")).distinct()
+    carried = _covering(buckets, crossing, level + 1).withColumnsRenamed({"id": "bucket", "run": "carried"})
+    found = sized_join(placed, carried, ["bucket"], "left")
+    reached = F.when(F.col("carried.stop") > F.col("id"), F.col("carried.run"))
+    return found.select("id", F.coalesce("run", reached).alias("run")).where("run is not null")
 
 
 def tile_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Requests joined with the run that covers their tile id; unresolved ones drop out.
 
-    ``entries`` are runs that do not overlap, so the run with the greatest start at
-    or before the id is the only candidate. Runs are cut into aligned blocks, which
-    turns the interval search into an equi join.
+    ``entries`` are runs that do not overlap, so the run with the greatest start at or before
+    the id is the only candidate. Every asked id is searched once, and its run is dealt anew
+    to the requests, so that an id that most requests ask for is split over tasks.
     """
-    runs = _run_blocks(entries, TIERS).withColumnRenamed("tile_id", "run_start")
-    columns = [c for c in runs.columns if c not in ("tier", "block")]
-    probes = F.explode(F.array(*[F.lit(t) for t in range(TIERS)]))
-    keyed = requests.where(F.col("tile_id").isNotNull()).withColumn("tier", probes)
-    block = F.expr(f"shiftright(tile_id, {BLOCK_BITS} * tier)")
-    hits = sized_join(keyed.withColumn("block", block), runs, ["tier", "block"])
-    return hits.select(*requests.columns, *columns)
+    names = {c: "run_start" if c == "tile_id" else c for c in entries.columns}
+    run = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("run")
+    data = entries.where(F.col("tile_id").isNotNull() & (F.col("run_length") > 0))
+    runs = data.select(F.col("tile_id").alias("first"), (F.col("tile_id") + F.col("run_length")).alias("stop"), run)
+    asked = requests.where(F.col("tile_id").isNotNull()).select(F.col("tile_id").alias("id")).distinct()
+    found = _covering(asked, runs).withColumnRenamed("id", "tile_id")
+    hits = sized_join(requests.withColumn("_request", F.struct(*requests.columns)).select("tile_id", "_request"), dealt_anew(found, ["tile_id"]), ["tile_id"])
+    return hits.select("_request.*", "run.*")
 
 
 def missing_tiles(requests: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
