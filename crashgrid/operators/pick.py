@@ -76,7 +76,7 @@ def candidates(cursors: DataFrame, index: tree.Tree, radius_px: float, min_zoom:
     farthest = F.hypot(F.greatest(F.abs(x0 - wx), F.abs(x1 - wx)), F.greatest(F.abs(y0 - wy), F.abs(y1 - wy)))
     columns = [*_KEY, "px_per_world", "wx", "wy"]
     of_cursor = Window.partitionBy(*_KEY)
-    frontier = spots.withColumns({"at": F.lit(0).cast("bigint"), "spot": F.lit(None).cast("struct<lon double, lat double, first_id bigint>")})
+    frontier = tree.at_root(spots).withColumn("spot", F.lit(None).cast("struct<lon double, lat double, first_id bigint>"))
     for nodes in index.levels:
         children = nodes.select(
             F.col("parent").alias("key"),
