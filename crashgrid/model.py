@@ -26,15 +26,6 @@ ACCIDENT = T.StructType(
     ]
 )
 
-CLUSTER = T.StructType(
-    [
-        T.StructField("layer", T.StringType()),
-        T.StructField("lon", T.DoubleType()),
-        T.StructField("lat", T.DoubleType()),
-        T.StructField("point_count", T.LongType()),
-    ]
-)
-
 IMAGE = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from crashgrid import model
 from crashgrid.functions import geo
-from crashgrid.functions.sizing import cluster_radius
 
 CELL_BITS = 3
 DEGREE_UNITS = 10_000_000
@@ -85,11 +84,6 @@ def cluster_layer(zoom: Column) -> Column:
     return F.when(zoom < 9, F.lit(model.COARSE_LAYER)).otherwise(F.lit(model.FINE_LAYER))
 
 
-def banded_radius(count: Column, zoom: Column) -> Column:
-    """Cluster radius with the stops of the layer shown at a zoom."""
-    return F.when(zoom < 9, cluster_radius(count, "coarse")).otherwise(cluster_radius(count, "fine"))
-
-
 def draw_order(clusters: DataFrame) -> DataFrame:
     """Clusters with the largest last, so that they are drawn on top."""
     return clusters.orderBy("point_count", "cx", "cy")
