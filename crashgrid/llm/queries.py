@@ -21,6 +21,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op11_lexical_search": lexical_search.ORACLE,
     "op13_phrase_decontamination": phrase_index.ORACLE,
 }

@@ -346,3 +346,25 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         make,
         f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
     )
+
+
+ORACLE = """
+with b as (
+    select row_number() over () as row, doc_id, encode(coalesce(text, '')) as t, octet_length(encode(coalesce(text, '')))::bigint as n
+    from documents),
+windows as (select row, i, t[i + 1 : i + 200] as s from (select row, t, unnest(range(0, n - 199)) as i from b)),
+twice as (select s from windows group by s having count(*) > 1),
+starts as (select row, i from windows semi join twice using (s)),
+marked as (select row, i, case when i <= lag(i) over (partition by row order by i) + 200 then 0 else 1 end as fresh from starts),
+numbered as (select row, i, sum(fresh) over (partition by row order by i) as run from marked),
+runs as (select row, run, min(i) as low, max(i) + 200 as high from numbered group by row, run),
+edges as (
+    select row, high as low, lead(low, 1) over (partition by row order by low) as high from runs
+    union all select row, 0, min(low) from runs group by row),
+pieces as (select row, e.low, coalesce(e.high, n) as high, t from edges e join b using (row)),
+rests as (select row, string_agg(hex(t[low + 1 : high]), '' order by low) as rest from pieces group by row),
+sums as (select row, sum(high - low)::bigint as n_removed, count(*)::bigint as n_spans from runs group by row)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(case when rest is null then t else unhex(rest) end) as kept_sha256
+from b left join sums using (row) left join rests using (row)
+"""
