@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -93,3 +94,27 @@ def test_no_python_in_the_plan(spark, small):
 def test_normal_fit(spark, z, p):
     got = spark.sql(f"select {secret_scan._two_sided(f'{z}D')}").first()[0]
     assert got == pytest.approx(p, rel=0.1)
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("letters", [LOWER + UPPER + DIGITS, UPPER + "234567", LOWER + DIGITS, DIGITS + "ABCDEF"])
+def test_few_keys_among_many_ordinary_runs(spark, make_docs, letters):
+    rng = random.Random(11)
+    words = sorted({w for r in read(spark, "/root/testdata/sf0.001").collect() for w in re.findall("[a-zA-Z]{3,12}", r.text or "")})
+    texts, keys = [], []
+    for length in (20, 28, 40):
+        keys += [("".join(rng.choices(letters, k=length)), length) for _ in range(20)]
+        for sign in ("", "-", "_", "/"):
+            for _ in range(500):
+                run = rng.choice(words)
+                while len(run) < length:
+                    run += sign + (rng.choice(words).title() if not sign else rng.choice(words))
+                texts.append(f"see {run[: length + 7]} there")
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
+    rows = scanned(make_docs, texts + [f"see {key} there" for key, _ in keys] + prose)
+    assert sum(bool(rows[i].spans) for i in range(len(texts))) <= 3
+    for length, least in ((20, 0.9), (28, 0.9), (40, 0.9)):
+        found = [rows[len(texts) + i].spans == f"random:4:{4 + n}" for i, (_, n) in enumerate(keys) if n == length]
+        assert sum(found) >= least * len(found), (length, sum(found))
