@@ -5,7 +5,7 @@ bits; the kernel of two texts is the number of n-grams present in both over the
 mean of their numbers. Landmarks are a few labelled texts per language; the kernel with
 them, whitened by the kernel among them (Nyström), gives features on which one ridge
 regression per language is fitted against the rest. All of it folds into one matrix, so
-texts are scored by two matrix products per batch.
+texts are scored by one matrix product per batch.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LANDMARKS_PER_LANGUAGE, MAX_LANDMARKS = 40, 320
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
-BATCH = 256
+BATCH = 64
 
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -50,18 +50,28 @@ def presence(text: str) -> np.ndarray:
     return found
 
 
+def kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values of texts with the landmarks."""
+    return _unit(present) @ _unit(landmarks).T
+
+
+def _unit(present: np.ndarray) -> np.ndarray:
+    return present.astype(np.float32) / np.sqrt(np.maximum(present.sum(axis=1), 1))[:, None]
+
+
 class Model:
-    """Landmarks and the matrix from kernel values to one score per language."""
+    """One matrix from presence to one score per language.
+
+    Kernel values with the landmarks are a product, and so are the regressions on them, so
+    both fold into a matrix of a column per language; tasks need nothing else.
+    """
 
     def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
-        self.languages, self.weights = languages, weights.astype(np.float32)
-        count = np.maximum(landmarks.sum(axis=1), 1)
-        self.landmarks = (landmarks / np.sqrt(count)[:, None]).astype(np.float32).T.copy()
+        self.languages = languages
+        self.matrix = (_unit(landmarks).T @ weights).astype(np.float32)
 
     def scores(self, present: np.ndarray) -> np.ndarray:
-        count = np.maximum(present.sum(axis=1), 1)
-        kernel = present.astype(np.float32) @ self.landmarks / np.sqrt(count)[:, None]
-        return kernel @ self.weights
+        return present.astype(np.float32) @ self.matrix / np.sqrt(np.maximum(present.sum(axis=1), 1))[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score (0 to 1) and one-versus-rest value (about -1 to 1) of each text."""
@@ -121,8 +131,7 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     labels = [r[1] for r in found]
     marks = [i for i, r in enumerate(found) if rank[r[0], r[1]] <= LANDMARKS_PER_LANGUAGE][:MAX_LANDMARKS]
     landmarks = present[marks]
-    kernel = Model([], landmarks, np.eye(len(marks))).scores(present)
-    return fit(landmarks, kernel, labels)
+    return fit(landmarks, kernel(present, landmarks), labels)
 
 
 def identify(
