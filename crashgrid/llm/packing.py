@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashgrid.llm import pretoken, vocab
-from crashgrid.llm.texts import map_rows, read, text_column
+from crashgrid.llm.texts import give_back, read, text_column
 from crashgrid.sources.storage import materialise
 
 SEQUENCE = 2048
@@ -116,6 +116,8 @@ def tokenised(
                     ],
                     ["doc_id", "key", "n_tokens", "ids"],
                 )
+        of.clear()
+        give_back()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, key long, n_tokens long, ids binary")
 

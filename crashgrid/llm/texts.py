@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,14 @@ def text_column(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that waits for its next task stays small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], schema: str, weigh: Callable[[tuple], int] = lambda row: 256
 ) -> DataFrame:
