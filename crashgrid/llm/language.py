@@ -51,12 +51,15 @@ def presence(text: str) -> np.ndarray:
 
 
 def kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of texts with the landmarks."""
-    return _unit(present) @ _unit(landmarks).T
+    """Kernel values of texts with the landmarks, some texts at a time."""
+    marks = _unit(landmarks).T
+    return np.concatenate([_unit(present[a : a + BATCH]) @ marks for a in range(0, len(present), BATCH)])
 
 
 def _unit(present: np.ndarray) -> np.ndarray:
-    return present.astype(np.float32) / np.sqrt(np.maximum(present.sum(axis=1), 1))[:, None]
+    found = present.astype(np.float32)
+    found /= np.sqrt(np.maximum(present.sum(axis=1), 1)).astype(np.float32)[:, None]
+    return found
 
 
 class Model:
@@ -127,7 +130,7 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     found = sample.mapInArrow(bits, f"id {id_type}, lang string, bits binary").dropDuplicates().collect()
     rank = {(r[0], r[1]): r[2] for r in chosen}
     found = sorted((r for r in found if (r[0], r[1]) in rank), key=lambda r: (rank[r[0], r[1]], r[1], r[2]))
-    present = np.array([np.unpackbits(np.frombuffer(r[2], np.uint8)).astype(bool) for r in found])
+    present = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8)).reshape(len(found), WIDTH).view(bool)
     labels = [r[1] for r in found]
     marks = [i for i, r in enumerate(found) if rank[r[0], r[1]] <= LANDMARKS_PER_LANGUAGE][:MAX_LANDMARKS]
     landmarks = present[marks]
