@@ -106,7 +106,8 @@ def tile_bounds(load):
     sql="select tile_id, cast(data_offset*100-90000000 as int)/1e7 as deg from tile_entries",
 )
 def fixed_point_degrees(load):
-    fixed = (F.col("data_offset") * 100 - 90000000).cast("int")
+    # Not narrowed to 32 bits: offsets from 22 MB on would not fit.
+    fixed = F.col("data_offset") * 100 - 90000000
     return load("tile_entries").select("tile_id", geo.fixed_point_deg(fixed).alias("deg"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crashgrid.operators import tiles
 from crashgrid.operators.skew import sized_join
+from crashgrid.plans import catalog
 
 
 def runs_of(contents):
@@ -123,3 +124,12 @@ def test_tilejson(load):
     assert (doc.tilejson, doc.scheme, doc.minzoom, doc.maxzoom) == ("3.0.0", "xyz", 11, 11)
     assert doc.bounds[0] < doc.center[0] < doc.bounds[2]
     assert doc.vector_layers == [] and doc.name is None
+
+
+def test_fixed_point_degrees_beyond_32_bits(spark, tmp_path):
+    """Offsets of large tables, times 100, don't fit into 32 bits."""
+    keys = [1, 22_374, 22_375, 30_000, 1_200_000]
+    rows = [(k, 1 + k % 50) for k in keys]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.tile_id: r.deg for r in catalog.QUERIES["fixed_point_degrees"](spark, str(tmp_path)).collect()}
+    assert got == {1398101 + k * 7: (k * 100_000 - 90_000_000) / 1e7 for k in keys}
