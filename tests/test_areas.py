@@ -10,7 +10,7 @@ from crashgrid import model
 from crashgrid.operators import clusters as cl
 from crashgrid.operators import grid, search, viewport
 from crashgrid.operators.pick import pick
-from crashgrid.sources import pyramid, scans
+from crashgrid.sources import pyramid, scans, storage
 
 
 def test_counts_are_kept_on_every_level(load):
@@ -236,3 +236,24 @@ def test_a_cluster_needs_a_shared_folder():
         storage.shared_dir(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs:///tmp/x/"
     assert storage.shared_dir(Session()) == "hdfs:///tmp/x"
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Views travel with groups of points; pairs appear behind the last exchange."""
+    points = spark.range(20_000).selectExpr("id as OBJECTID", "13.4d + (id % 200) / 1e5 as lon", "52.5d + (id div 200) / 1e5 as lat")
+    views = spark.range(300).selectExpr(
+        "id as view_id", "13.4d + id / 1e6 as center_lon", "52.5d as center_lat", "12d as zoom", "1000 as width_px", "768 as height_px"
+    )
+    pairs = viewport.viewport_join(views, points, keep=["view_id"]).select("view_id", "OBJECTID")
+    path = storage.new_path(spark, "pairs")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def shuffled():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = shuffled()
+    pairs.write.parquet(path)
+    assert spark.read.parquet(path).count() == 300 * 20_000
+    assert shuffled() - before < 200_000
