@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from crashgrid.llm import hashing
 from crashgrid.llm.components import components
-from crashgrid.llm.texts import map_rows, read, text_column
+from crashgrid.llm.texts import give_back, map_rows, pieces, read, text_column
 from crashgrid.operators.skew import dealt_anew
 from crashgrid.sources.storage import discard, materialise
 
@@ -150,9 +150,9 @@ def members(docs: DataFrame, words: int) -> DataFrame:
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        for batch in batches:
+        for piece in (p for batch in batches for p in pieces(batch)):
             sigs, sets, rows = [], [], 0
-            for text in batch.column(0).to_pylist():
+            for text in piece.column(0).to_pylist():
                 found = _elements(text, words)
                 own = digest(found)
                 if own in given:
@@ -169,6 +169,8 @@ def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sigs, sets, rows = [], [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sets))], ["sig", "set"])
+        given.clear()
+        give_back()
 
     return docs.select("_text").mapInArrow(run, "sig long, set long")
 

@@ -1,12 +1,16 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import check
-from crashgrid.llm import hashing, ngram_join, queries
+from crashgrid.llm import hashing, ngram_join, queries, texts
 from crashgrid.llm.components import components
+from crashgrid.sources import storage
 
 
 def shingles(text, n):
@@ -113,3 +117,28 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(500, 501)], "a long, b long"))
     rows = {r.node: r.root for r in components(edges).collect()}
     assert rows == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_texts_reach_python_some_at_a_time(spark, make_docs):
+    """A task over 40 MB of texts holds a few of them."""
+    docs = make_docs([(i, f"{i} " + "word " * 1_000) for i in range(40)])
+    many = docs.selectExpr("explode(sequence(1, 200)) as n", "text").select("text").coalesce(1)
+
+    def make():
+        tracemalloc.start()
+
+        def of(text):
+            yield (tracemalloc.get_traced_memory()[1],)
+
+        return of
+
+    most = storage.materialise(texts.map_rows(many, make, "peak long"), "peak")
+    assert most.count() == 8_000
+    assert most.agg(F.max("peak")).first()[0] < 12 << 20
+
+
+def test_pieces_keep_all_rows_in_order():
+    rows = pa.RecordBatch.from_pydict({"n": list(range(50)), "text": ["x" * (3_000_000 if i == 7 else 100_000) for i in range(50)]})
+    found = list(texts.pieces(rows))
+    assert len(found) > 3 and [n for p in found for n in p.column(0).to_pylist()] == list(range(50))
+    assert list(texts.pieces(rows.slice(0, 0))) == []
