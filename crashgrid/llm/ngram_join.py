@@ -286,6 +286,17 @@ def _placed(inside: DataFrame, found: DataFrame) -> DataFrame:
     return inside.join(roots.hint("merge"), "set", "left").select("sig", "set", F.coalesce("root", "set").alias("root"))
 
 
+def _chained(placed: DataFrame) -> DataFrame:
+    """``a, b``: sets of different components that are neighbours in one of CHAINS orders of their signature's sets."""
+    sides = []
+    for turn in range(CHAINS):
+        order = Window.partitionBy("sig").orderBy(F.xxhash64("set", F.lit(turn)), "set")
+        sides += [F.lag("set").over(order).alias(f"_a{turn}"), F.lag("root").over(order).alias(f"_q{turn}")]
+    before = F.explode(F.array(*[F.struct(F.col(f"_a{t}").alias("a"), F.col(f"_q{t}").alias("q")) for t in range(CHAINS)]))
+    chain = placed.select("set", "root", *sides).select("set", "root", before.alias("_before")).where("_before.q != root")
+    return chain.select(F.least("_before.a", "set").alias("a"), F.greatest("_before.a", "set").alias("b")).distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``a, b`` of ``pairs`` (distinct sets) that reach the threshold."""
 
@@ -340,22 +351,16 @@ def join_components(
     found = components(links)
 
     # Neighbours in a few orders of each signature's sets join most of what is left apart;
-    # this needs no more pairs than there are sets.
-    for turn in range(CHAINS):
-        placed = _placed(inside, found)
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("set", F.lit(turn)), "set")
-        chain = placed.select(
-            F.col("set").alias("b"), F.col("root").alias("_r"), F.lag("set").over(order).alias("a"), F.lag("root").over(order).alias("_q")
-        ).where("_q != _r")
-        near = chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = materialise(_likely(near, about, percent).join(tried.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
-        if near.isEmpty():
-            break
+    # this needs no more pairs than there are sets in each order. Orders go together, so
+    # that components are solved once for all of them.
+    near = materialise(_likely(_chained(_placed(inside, found)), about, percent).join(tried.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
+    if not near.isEmpty():
         both = materialise(tried.unionByName(near), "ngram-pairs")
         longer = materialise(links.unionByName(_linked(near, sets, percent)), "ngram-links")
-        discard(tried, near, links)
+        discard(tried, links)
         tried, links = both, longer
         found = components(links)
+    discard(near)
 
     # Sets of one signature in different components: every pair counts that sizes and parity
     # maps do not rule out; both are exact bounds.

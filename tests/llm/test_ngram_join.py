@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import check
 from crashgrid.llm import hashing, ngram_join, queries, texts
-from crashgrid.llm.components import components
+from crashgrid.llm.components import _unfinished, components
 from crashgrid.sources import storage
 
 
@@ -119,6 +119,25 @@ def test_components_of_a_long_path(spark):
     assert rows == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_chains_of_all_orders_come_together(spark):
+    """So that components, a long series of jobs, are solved once for all of them."""
+    placed = spark.range(60).selectExpr("id % 2 as sig", "id as set", "id div 3 as root")
+    want = set()
+    for turn in range(ngram_join.CHAINS):
+        rows = placed.orderBy("sig", F.xxhash64("set", F.lit(turn)), "set").collect()
+        want |= {(min(x.set, y.set), max(x.set, y.set)) for x, y in zip(rows, rows[1:]) if x.sig == y.sig and x.root != y.root}
+    found = [tuple(r) for r in ngram_join._chained(placed).collect()]
+    assert len(found) == len(set(found)) > 58 and set(found) == want
+
+
+def test_rounds_are_checked_by_one_exchange(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (5, 4)], "u long, v long")
+    found = _unfinished(edges)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert found.isEmpty()
+    assert {r["at"] for r in _unfinished(edges.union(spark.createDataFrame([(4, 1), (3, 2)], "u long, v long"))).collect()} == {2, 3, 4}
+
+
 def test_texts_reach_python_some_at_a_time(spark, make_docs):
     """A task over 40 MB of texts holds a few of them."""
     docs = make_docs([(i, f"{i} " + "word " * 1_000) for i in range(40)])
