@@ -13,15 +13,17 @@ hash order) as signatures, of which two similar sets share one.
 
 Sets are told apart by 64-bit hashes, so copies count once. Sets that share a signature are
 first compared with the least of them. Where that leaves them in different components, all
-their pairs are compared. Comparisons are exact, on the sets of n-gram hashes.
+their pairs are compared. Sizes and parity maps, kept for every set, rule most pairs out;
+n-grams are fetched only for the sets of the others. Comparisons are exact, on the sets of
+n-gram hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
-from math import comb, exp
+from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ REMEMBERED = 200_000
 CHAINS = 2
 #: Words of 64 bits in a parity map.
 MAPS = 16
+#: The pairs compared at a time have at most this share of the n-grams of all rows; the others wait.
+LOAD = 0.5
 
 
 #: Spare first-level parts are at most this share of the needed ones.
@@ -132,18 +136,19 @@ def _elements(text: str, words: int) -> np.ndarray:
 
 
 def members(docs: DataFrame, words: int) -> DataFrame:
-    """``_k1, _k2, _id, n, set`` of every row; a row without words has n = 0."""
+    """``_k1, _k2, _id, n, set`` and the parity map of every row; a row without words has n = 0."""
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def make():
         def of(k1, k2, ident, text):
             found = _elements(text, words)
-            yield k1, k2, ident, len(found), digest(found)
+            yield k1, k2, ident, len(found), digest(found), *_parity(found)
 
         return of
 
+    maps = ", ".join(f"p{i} long" for i in range(MAPS))
     return map_rows(
-        docs.select("_k1", "_k2", "_id", "_text"), make, f"_k1 long, _k2 long, _id {id_type}, n long, set long"
+        docs.select("_k1", "_k2", "_id", "_text"), make, f"_k1 long, _k2 long, _id {id_type}, n long, set long, {maps}", lambda r: 1024
     )
 
 
@@ -241,28 +246,23 @@ def candidates(docs: DataFrame, words: int, percent: int, scratch: list[DataFram
 
 def _parity(elements: np.ndarray) -> list[int]:
     """Bit map with a bit flipped by every element; two maps differ in no more bits than the sets in elements."""
-    at, n = np.unique(hashing.mixed(elements ^ np.uint64(0x5EED)) & np.uint64(64 * MAPS - 1), return_counts=True)
-    bits = np.zeros(64 * MAPS, np.uint8)
-    bits[at.astype(np.int64)] = n & 1
-    return np.packbits(bits).view(np.int64).tolist()
+    at = hashing.mixed(elements ^ np.uint64(0x5EED)) & np.uint64(64 * MAPS - 1)
+    bits = np.bincount(at.astype(np.int64), minlength=64 * MAPS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, of_set: DataFrame, words: int) -> DataFrame:
-    """``set, n, elements`` and the parity map of the sets in ``wanted``."""
+    """``set, elements`` of the sets in ``wanted``."""
     rows = of_set.join(wanted.hint("merge"), "set")
 
     def make():
         def of(ident, text):
-            found = _elements(text, words)
-            yield ident, len(found), found.tobytes(), *_parity(found)
+            yield ident, _elements(text, words).tobytes()
 
         return of
 
     texts = docs.select("_k1", "_k2", "_text").join(rows.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["set"])
-    maps = ", ".join(f"p{i} long" for i in range(MAPS))
-    return map_rows(
-        texts.select("set", "_text"), make, f"set long, n long, elements binary, {maps}", lambda r: 256 + len(r[2])
-    )
+    return map_rows(texts.select("set", "_text"), make, "set long, elements binary", lambda r: 256 + len(r[1]))
 
 
 def _possible(percent: int) -> str:
@@ -275,9 +275,9 @@ def _possible(percent: int) -> str:
 
 
 def _likely(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` that sizes and parity maps do not rule out."""
+    """The ``a, b`` of ``pairs`` that sizes and parity maps do not rule out, and ``load``, the sum of their sizes."""
     x, y = about.withColumnRenamed("set", "a").alias("x"), about.withColumnRenamed("set", "b").alias("y")
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(_possible(percent)).select("a", "b")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(_possible(percent)).selectExpr("a", "b", "x.n + y.n as load")
 
 
 def _placed(inside: DataFrame, found: DataFrame) -> DataFrame:
@@ -297,8 +297,11 @@ def _chained(placed: DataFrame) -> DataFrame:
     return chain.select(F.least("_before.a", "set").alias("a"), F.greatest("_before.a", "set").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` (distinct sets) that reach the threshold."""
+def _linked(pairs: DataFrame, docs: DataFrame, of_set: DataFrame, words: int, percent: int, most: float) -> list[DataFrame]:
+    """Written tables of the ``a, b`` of ``pairs`` (distinct sets) that reach the threshold.
+
+    Pairs are compared in turns, so that the n-grams on disk at a time number about ``most``.
+    """
 
     @F.arrow_udf("boolean")
     def near(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -309,10 +312,24 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * common >= percent * (len(one) + len(other) - common))
         return pa.array(out, pa.bool_())
 
-    first = sets.select(F.col("set").alias("a"), F.col("elements").alias("_x"))
-    second = sets.select(F.col("set").alias("b"), F.col("elements").alias("_y"))
-    both = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
-    return both.where(near("_x", "_y")).select("a", "b")
+    load = pairs.agg(F.sum("load").alias("n")).first().n or 0
+    turns, out = ceil(load / most) if load else 0, []
+    for turn in range(turns):
+        now = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn).select("a", "b")
+        wanted = now.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        sets = materialise(_sets(wanted, docs, of_set, words), "ngram-sets")
+        first = sets.select(F.col("set").alias("a"), F.col("elements").alias("_x"))
+        second = sets.select(F.col("set").alias("b"), F.col("elements").alias("_y"))
+        both = now.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
+        out.append(materialise(both.where(near("_x", "_y")).select("a", "b"), "ngram-links"))
+        discard(sets)
+    return out
+
+
+def _joined(links: list[DataFrame], docs: DataFrame) -> DataFrame:
+    """``node, root`` by all ``links``, of which there may be none."""
+    none = docs.sparkSession.range(0).selectExpr("id as a", "id as b")
+    return components(reduce(DataFrame.unionByName, links, none))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -336,6 +353,8 @@ def join_components(
     held = materialise(members(rows, words), "ngram-members")
     of_set = held.where("n > 0").groupBy("set").agg(F.min(F.struct("_k1", "_k2")).alias("_first"))
     of_set = of_set.select("set", "_first._k1", "_first._k2")
+    about = materialise(held.where("n > 0").select("set", "n", *[f"p{i}" for i in range(MAPS)]).dropDuplicates(["set"]), "ngram-maps")
+    most = max(1.0, LOAD * (held.agg(F.sum("n").alias("n")).first().n or 0))
     scratch: list[DataFrame] = []
     stars = materialise(candidates(rows, words, percent, scratch), "ngram-candidates")
     discard(*scratch)
@@ -343,23 +362,21 @@ def join_components(
     pairs = stars.select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
     inside = stars.select("sig", "set").unionByName(stars.select("sig", F.col("least").alias("set"))).distinct()
     inside = materialise(inside, "ngram-groups")
-    sets = materialise(_sets(inside.select("set").distinct(), rows, of_set, words), "ngram-sets")
-    about = sets.drop("elements")
     tried = materialise(_likely(pairs, about, percent), "ngram-pairs")
     discard(stars)
-    links = materialise(_linked(tried, sets, percent), "ngram-links")
-    found = components(links)
+    links = _linked(tried, rows, of_set, words, percent, most)
+    found = _joined(links, docs)
 
     # Neighbours in a few orders of each signature's sets join most of what is left apart;
     # this needs no more pairs than there are sets in each order. Orders go together, so
     # that components are solved once for all of them.
     near = materialise(_likely(_chained(_placed(inside, found)), about, percent).join(tried.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
-    if not near.isEmpty():
+    extra = _linked(near, rows, of_set, words, percent, most)
+    if extra:
         both = materialise(tried.unionByName(near), "ngram-pairs")
-        longer = materialise(links.unionByName(_linked(near, sets, percent)), "ngram-links")
-        discard(tried, links)
-        tried, links = both, longer
-        found = components(links)
+        discard(tried)
+        tried, links = both, links + extra
+        found = _joined(links, docs)
     discard(near)
 
     # Sets of one signature in different components: every pair counts that sizes and parity
@@ -371,16 +388,15 @@ def join_components(
     known = apart.join(about.hint("merge"), "set")
     condition = F.expr(f"x.sig = y.sig and x.set < y.set and x.root != y.root and {_possible(percent)}")
     more = known.alias("x").join(known.alias("y").hint("merge"), condition)
-    more = more.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
-    more = more.select("a", "b").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+    more = more.selectExpr("x.set as a", "y.set as b", "x.n + y.n as load")
+    more = more.distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = materialise(more, "ngram-pairs")
-    discard(apart, tried)
-    if not more.isEmpty():
-        extra = _linked(more, sets, percent)
-        joined = materialise(links.unionByName(extra), "ngram-links")
-        found = components(joined)
-        discard(joined)
-    discard(more, links, sets)
+    discard(apart, tried, about)
+    extra = _linked(more, rows, of_set, words, percent, most)
+    if extra:
+        links += extra
+        found = _joined(links, docs)
+    discard(more, *links)
 
     rooted = held.join(found.withColumnRenamed("node", "set").hint("merge"), "set", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set"))

@@ -161,3 +161,37 @@ def test_pieces_keep_all_rows_in_order():
     found = list(texts.pieces(rows))
     assert len(found) > 3 and [n for p in found for n in p.column(0).to_pylist()] == list(range(50))
     assert list(texts.pieces(rows.slice(0, 0))) == []
+
+
+def seen_tables(monkeypatch):
+    """Rows of the tables that the join writes, by name."""
+    found = {}
+    write = ngram_join.materialise
+
+    def watched(df, name):
+        stored = write(df, name)
+        found.setdefault(name, []).append(stored.count())
+        return stored
+
+    monkeypatch.setattr(ngram_join, "materialise", watched)
+    return found
+
+
+def test_ngrams_are_kept_for_possible_pairs_only(make_docs, monkeypatch):
+    """Sets that share signatures by chance, as more and more do in a larger table, are ruled out before."""
+    rng = random.Random(4)
+    pairs = [(i, " ".join(rng.choices([f"w{j}" for j in range(40)], k=24))) for i in range(200)]
+    pairs += [(200 + i, f"{pairs[i][1]} {pairs[i][1]} x") for i in range(10)]
+    tables = seen_tables(monkeypatch)
+    rows = ngram_join.join_components(make_docs(pairs), words=1, percent=90).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, rows), key=repr) == brute(pairs, 1, 90)
+    assert 10 <= max(tables["ngram-sets"]) < 60
+
+
+def test_pairs_are_compared_in_turns(make_docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOAD", 0.2)
+    pairs = chains(5)
+    tables = seen_tables(monkeypatch)
+    rows = ngram_join.join_components(make_docs(pairs), words=3, percent=85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, rows), key=repr) == brute(pairs, 3, 85)
+    assert len(tables["ngram-sets"]) > 3
